@@ -163,4 +163,8 @@ def judged(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
     order = [rule for rule, _, _ in ordered_rules(with_statistics(few, text_col), rules, SAMPLE)]
     rows = with_statistics(docs, text_col)
     base = F.coalesce(BASE[0].rejects() | BASE[1].rejects(), F.lit(True))
-    return rows.withColumn("base_failed", base).withColumn("rejected_by", cascade(order)).withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("_text")
+    kept = ~F.col("base_failed") & F.col("rejected_by").isNull()
+    # A filter on kept would be pushed below the steps of with_repeats() and repeat them all; it isn't pushed through an
+    # expression that counts as non-deterministic. The condition is always true.
+    kept = F.when(F.monotonically_increasing_id() >= 0, kept).otherwise(F.lit(False))
+    return rows.withColumn("base_failed", base).withColumn("rejected_by", cascade(order)).withColumn("kept", kept).drop("_text")
