@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What a folded name keeps: digits, letters a to z, ampersand, kana, Han, Hangul, half-width kana.
 KEPT = "0-9a-z&぀-ヿ㐀-䶿一-鿿가-힯ｦ-ﾟ"
@@ -26,19 +27,19 @@ def _fold(text: str | None) -> str:
     return _DROPPED.sub(" ", plain).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Compatibility-normalized, case-folded, without a leading number of two or more digits, runs of other characters as one space. Null: empty."""
     return text.map(_fold, na_action=None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def squeezed(text: pd.Series) -> pd.Series:
     """Compatibility-normalized with runs of white space as one space: the key for duplicates inside a source."""
     return text.map(lambda x: " ".join(unicodedata.normalize("NFKC", x or "").split()), na_action=None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """HTML entities resolved and dashes of all kinds as a hyphen."""
     dashes = dict.fromkeys(map(ord, "‐‑‒–—―−"), "-")

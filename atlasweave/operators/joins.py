@@ -156,3 +156,24 @@ def one_per_group(edges: DataFrame, schema: str | None = None) -> DataFrame:
         return pdf[keep]
 
     return edges.groupBy("component").applyInPandas(run, schema or edges.schema)
+
+
+def areas_named(rows: DataFrame, text: str, areas: DataFrame, row_id: str) -> DataFrame:
+    """The deepest area that each row's text names: province, then a city of it, then a district of that.
+
+    areas: area_id, name, parent, depth (0 to 2); a reference table (its size is checked). Earliest and longest names
+    win. Rows that name no province, or no city of it, are left out.
+    """
+    if areas.count() > 20_000:
+        raise ValueError("the reference table is too large to send to every task")
+    found = rows.select(row_id, text, F.lit(None).cast(dict(areas.dtypes)["area_id"]).alias("_parent"))
+    out = None
+    for depth, level in ((0, "province"), (1, "city"), (2, "district")):
+        own = areas.where(F.col("depth") == depth).select(F.col("area_id").alias("_id"), F.col("name").alias("_name"), F.col("parent").alias("_of"))
+        inside = F.instr(F.col(text), F.col("_name")) > 0
+        met = found.join(F.broadcast(own), inside if depth == 0 else inside & (F.col("_parent") == F.col("_of")))
+        found = met.groupBy(row_id, text).agg(F.min_by("_id", F.struct(F.instr(F.col(text), F.col("_name")), -F.char_length("_name"), "_id")).alias("_parent"))
+        hit = found.select(row_id, F.col("_parent").alias("area_id"), F.lit(level).alias("level"), F.lit(depth).alias("_d"))
+        out = hit if out is None else out.unionByName(hit)
+    best = out.where("_d > 0").groupBy(row_id).agg(F.max_by(F.struct("area_id", "level"), "_d").alias("a"))
+    return best.select(row_id, "a.area_id", "a.level")

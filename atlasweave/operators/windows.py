@@ -76,3 +76,13 @@ def opening_times(days: DataFrame, venue: str) -> DataFrame:
     lines = runs.withColumn("_line", F.concat(span, F.lit(" "), F.col("times")))
     whole = lines.groupBy(venue).agg(F.sum("length").alias("_days"), F.bool_and(F.col("times") == "00:00-00:00").alias("_none"), F.array_sort(F.collect_list(F.struct("first", "_line"))).alias("_l"))
     return whole.where("_days = 7 and not _none").select(venue, F.array_join(F.transform("_l", lambda x: x["_line"]), "; ").alias("hours"))
+
+
+def ranked_images(images: DataFrame, owner: str, k: int = 3) -> DataFrame:
+    """Each owner's k best pictures (url, sha256, rejected, tier, score, pos): one for each URL and content, not rejected first, then by tier, score and place; a rejected one only where there is no other."""
+    order = [F.col("rejected").asc(), F.col("tier").asc(), F.col("score").desc_nulls_last(), F.col("pos").asc()]
+    by_url = top_of_group(images, [owner, "url"], order, 1, "_n").drop("_n")
+    content = F.coalesce("sha256", "url")
+    one = top_of_group(by_url.withColumn("_content", content), [owner, "_content"], order, 1, "_n").drop("_n", "_content")
+    best = one.withColumn("_good", F.max(~F.col("rejected")).over(Window.partitionBy(owner))).withColumn("rank", F.row_number().over(Window.partitionBy(owner).orderBy(*order)))
+    return best.where("rank <= {0} and (not rejected or (not _good and rank = 1))".format(k)).drop("_good")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import stable_key
-from ..functions.text import street_signature, with_name_keys, with_similarity
+from ..functions.scripts import brand_key, proximity_rule, read_pair, same_place_reason
+from ..functions.text import common_prefix, street_signature, with_name_keys, with_similarity
 from ..operators import aggregates, graph, joins, windows
 
 PROXIMITY_M, PROXIMITY_SIMILARITY = 120.0, 0.6
@@ -67,24 +68,60 @@ def one_street_address(units: DataFrame) -> DataFrame:
     return joins.star_edges(signed, ["country", "compact_bare", "street"]).withColumn("tier", F.lit("one_street_address"))
 
 
-TIERS = (near_and_alike, same_name_nearby, branch_names, repeated_in_source, without_position, one_street_address)
 
 
 def edges(units: DataFrame) -> DataFrame:
     """All edges of all tiers of units (unit_id, source, name, addr, lat, lng, country, ...)."""
     keyed = with_name_keys(units).persist()
     out = None
-    for tier in TIERS:
+    for tier in (near_and_alike, same_name_nearby, branch_names, repeated_in_source, without_position, one_street_address, same_chinese_place):
         own = tier(keyed).select("a", "b", "tier")
         out = own if out is None else out.unionByName(own)
     return out
 
 
+def linked(units: DataFrame) -> DataFrame:
+    """All edges, those of the proximity tier too, which looks at what the other tiers have linked."""
+    first = edges(units)
+    clusters = graph.labelled(units.select("unit_id"), first.select("a", "b"))
+    return first.unionByName(proximity(units.select("unit_id", "source", "name", "lat", "lng"), clusters))
+
+
 def venues(units: DataFrame) -> DataFrame:
     """One row for each venue, with what its units say together, a stable key and a dense id."""
-    clustered = graph.labelled(units, edges(units).select("a", "b"))
+    clustered = graph.labelled(units, linked(units).select("a", "b"))
     lead = aggregates.survivors(clustered.select("cluster_id", "unit_id", "source", "name", "addr", "lat", "lng", "country", "source_url"), "cluster_id", priority(F.col("source")))
     sets = clustered.groupBy("cluster_id").agg(F.array_sort(F.collect_set("source")).alias("src"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("games")))).alias("games"))
     sid = stable_key(F.col("source_url"), [("z", r"zenius[^/]*/arcades?/(\d+)"), ("b", r"bemanicn\.[a-z]+/s/(\d+)")], [F.col("country"), F.col("name"), F.col("addr")])
     out = lead.join(sets, "cluster_id").withColumn("sid", sid).drop("unit_id", "source")
     return windows.dense_ids(out, [F.col("country"), F.lower("name"), F.col("addr"), F.col("cluster_id")])
+
+
+def proximity(units: DataFrame, clusters: DataFrame, official: tuple[str, ...] = ("allnet", "eagate", "wahlap")) -> DataFrame:
+    """An official and a community unit of different clusters within 30 m whose names read alike, or that are alone on a spot.
+
+    clusters: unit_id, cluster_id of what earlier tiers linked. No cluster gets two units of one official source; pairs
+    are taken in order of similarity within each component of candidates.
+    """
+    own = units.join(clusters, "unit_id")
+    near = joins.spatial_join(own, own, 60.0).where("l_unit_id <> r_unit_id")
+    around = near.groupBy(F.col("l_unit_id").alias("unit_id")).agg((F.array_size(F.array_distinct(F.array_append(F.collect_set("r_cluster_id"), F.first("l_cluster_id"))))).alias("_near"))
+    close = (F.col("distance_m") < 30) & (F.col("l_cluster_id") != F.col("r_cluster_id"))
+    sides = near.where(close & F.col("l_source").isin(*official) & ~F.col("r_source").isin(*official))
+    read = sides.withColumn("_r", read_pair("l_name", "r_name")).join(around.withColumnRenamed("unit_id", "l_unit_id"), "l_unit_id")
+    ruled = read.withColumn("rule", proximity_rule(F.col("distance_m"), F.col("_r.similarity"), F.col("_r.inside"), F.col("_near"))).where("rule is not null")
+    pairs = ruled.select(F.col("l_unit_id").alias("a"), F.col("r_unit_id").alias("b"), F.col("l_cluster_id").alias("a_cluster"), F.col("r_cluster_id").alias("b_cluster"), F.col("l_source").alias("a_official"), F.lit(None).cast("string").alias("b_official"), F.col("_r.similarity").alias("similarity"), "distance_m")
+    found = graph.components(pairs.select(F.col("a_cluster").alias("a"), F.col("b_cluster").alias("b")))
+    grouped = pairs.join(found, pairs.a_cluster == found.node).drop("node")
+    return joins.one_per_group(grouped).select("a", "b", F.lit("proximity").alias("tier"))
+
+
+def same_chinese_place(units: DataFrame, radius_m: float = 500.0, alone_m: float = 200.0) -> DataFrame:
+    """Units in China within radius_m whose names agree on brand, branch and building; without a building they must be closer."""
+    own = units.where("country = 'China'")
+    near = joins.spatial_join(own, own, radius_m).where("l_source <> r_source and l_unit_id < r_unit_id")
+    shared = near.withColumns({"_a": brand_key(F.col("l_name")), "_b": brand_key(F.col("r_name"))}).withColumn("_shared", common_prefix(F.col("_a"), F.col("_b")))
+    why = shared.withColumn("reason", same_place_reason(F.col("l_name"), F.col("r_name"), F.col("_shared")))
+    kept = why.where((F.col("reason") == "landmark_agree") | ((F.col("reason") == "brand_only") & (F.col("distance_m") <= alone_m)))
+    best = joins.mutual_best(kept, "l_unit_id", "r_unit_id", [F.col("distance_m"), F.col("l_unit_id"), F.col("r_unit_id")], "l_source", "r_source")
+    return best.select(F.col("r_unit_id").alias("a"), F.col("l_unit_id").alias("b"), F.lit("same_chinese_place").alias("tier"))
