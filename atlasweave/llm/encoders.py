@@ -16,7 +16,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CAP = 1_000_000
+CAP = 700_000
 LONGEST = 64
 #: Texts that are encoded at once: so many, or so many characters.
 TEXTS, CHARS = 512, 2_000_000
@@ -27,38 +27,78 @@ SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 CHUNKS = {"words": str.split, "spaced": SPACED.findall}
 
 
+#: A mark that may follow a word of letters; pre-tokenization parts it from them.
+MARKS = frozenset(",.;:!?")
+#: Words of letters that are encoded as one text.
+JOINED = 4000
+
+
 class CachedEncoder:
     def __init__(self, path: str, chunks: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = CHUNKS[chunks]
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.chunks, self.spaced = CHUNKS[chunks], chunks == "spaced"
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2") if len(vocabulary) <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        # Where a word of letters begins (its first token has the space) or ends (its last token says so).
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if self.spaced else t.endswith("</w>"))]] = True
+        self.marks = dict(zip(sorted(MARKS), self.whole(sorted(MARKS)), strict=True))
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, chunk: str) -> bool:
+        """Whether a chunk is one pre-token of letters, in either case, after a space where the tokenizer keeps spaces."""
+        if self.spaced:
+            return chunk[0] == " " and chunk[1:].isalpha()
+        return chunk.isalpha() and (chunk.isascii() or chunk.lower().isalpha())
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """The ids of plain chunks, encoded as one text and parted where words begin or end."""
+        text = "".join(words) if self.spaced else " ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != len(words):
+            return self.whole(words)
+        cuts = ((np.append(at, len(ids)) if self.spaced else np.append(0, at + 1)) * self.dtype.itemsize).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of chunks that aren't known."""
+        stems = {w: w[:-1] for w in new if w[-1] in MARKS and len(w) > 1 and self._plain(w[:-1])}
+        wanted = [w for w in dict.fromkeys(stems.get(w, w) for w in new) if w not in self.known]
+        plain = [w for w in wanted if self._plain(w)]
+        seen = set(plain)
+        rest = [w for w in wanted if w not in seen]
+        out = dict(zip(rest, self.whole(rest), strict=True)) if rest else {}
+        for k in range(0, len(plain), JOINED):
+            out.update(zip(plain[k : k + JOINED], self._joined(plain[k : k + JOINED]), strict=True))
+        self.known.update((w, x) for w, x in out.items() if len(w) <= LONGEST)
+        known = self.known
+        with_marks = {w: (out.get(s) or known[s]) + self.marks[w[-1]] for w, s in stems.items()}
+        known.update((w, x) for w, x in with_marks.items() if len(w) <= LONGEST)
+        return out | with_marks
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of self.dtype."""
         if len(self.known) > CAP:
             self.known.clear()
-        known, get = self.known, self.known.get
+        get = self.known.get
         odd = [bool(ODD.search(x)) for x in texts]
         parts = [[] if o else self.chunks(x) for x, o in zip(texts, odd, strict=True)]
         found = [list(map(get, p)) for p in parts]
-        new = list({w for p, f in zip(parts, found, strict=True) if None in f for w, x in zip(p, f, strict=True) if x is None})
-        fresh = dict(zip(new, self.whole(new), strict=True)) if new else {}
-        known.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST)
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        fresh = self._learn(list({p[i] for p, g in zip(parts, gaps, strict=True) for i in g}))
         out = []
-        for x, o, p, f in zip(texts, odd, parts, found, strict=True):
-            if o:
-                out += self.whole([x])
-            elif None in f:
-                out.append(b"".join([fresh[w] if x is None else x for w, x in zip(p, f, strict=True)]))
-            else:
-                out.append(b"".join(f))
+        for x, o, p, f, g in zip(texts, odd, parts, found, gaps, strict=True):
+            for i in g:
+                f[i] = fresh[p[i]]
+            out += self.whole([x]) if o else [b"".join(f)]
         return out
 
     def batches(self, texts: list[str | None]):
