@@ -1,7 +1,7 @@
 """Public tokenizers, with the ids of recent words kept in each worker.
 
 Pre-tokenization never joins what white space parts, so a text's ids are those of its chunks, one after another. Chunks
-repeat, so each worker remembers the ids of those that it has met (``CAP`` of them, then it starts afresh). Texts whose
+repeat, so each worker remembers the ids of those that it has met: ``CAP`` new ones, and the ``CAP`` before. Texts whose
 white space the tokenizer and Python see differently, or that spell a special token, go to the tokenizer whole.
 """
 
@@ -16,15 +16,33 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CAP = 700_000
+CAP = 300_000
 LONGEST = 64
 #: Texts that are encoded at once: so many, or so many characters.
-TEXTS, CHARS = 512, 2_000_000
+TEXTS, CHARS = 256, 1_000_000
 ODD = re.compile(r"[\x1c-\x1f\x85]|<\|")
 #: A word with the one space before it, or a run of white space, as byte-level pre-tokenization parts them.
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
-CHUNKS = {"words": str.split, "spaced": SPACED.findall}
+
+
+def words(text: str) -> list[str]:
+    """Words, for a tokenizer that lower-cases: in Latin-1, where all agree on lower case, already so."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split()
+    return text.lower().split()
+
+
+def spaced(text: str) -> list[str]:
+    """As SPACED; where no two white characters meet and none but spaces and line ends is there, by plain splitting."""
+    if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or not text.replace("\n", "").isprintable():
+        return SPACED.findall(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+
+CHUNKS = {"words": words, "spaced": spaced}
 
 
 #: A mark that may follow a word of letters; pre-tokenization parts it from them.
@@ -46,7 +64,8 @@ class CachedEncoder:
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         self.edge[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if self.spaced else t.endswith("</w>"))]] = True
         self.marks = dict(zip(sorted(MARKS), self.whole(sorted(MARKS)), strict=True))
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,13 +106,16 @@ class CachedEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of self.dtype."""
         if len(self.known) > CAP:
-            self.known.clear()
+            self.old, self.known = self.known, {"": b""}
         get = self.known.get
         odd = [bool(ODD.search(x)) for x in texts]
         parts = [[] if o else self.chunks(x) for x, o in zip(texts, odd, strict=True)]
         found = [list(map(get, p)) for p in parts]
         gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
-        fresh = self._learn(list({p[i] for p, g in zip(parts, gaps, strict=True) for i in g}))
+        new = {p[i] for p, g in zip(parts, gaps, strict=True) for i in g}
+        fresh = {w: self.old[w] for w in new if w in self.old}
+        self.known.update(fresh)
+        fresh |= self._learn(list(new - fresh.keys()))
         out = []
         for x, o, p, f, g in zip(texts, odd, parts, found, gaps, strict=True):
             for i in g:
@@ -101,17 +123,18 @@ class CachedEncoder:
             out += self.whole([x]) if o else [b"".join(f)]
         return out
 
-    def batches(self, texts: list[str | None]):
-        """encode() over slices of bounded size; null texts are empty."""
-        part, size = [], 0
-        for x in texts:
-            part.append(x or "")
-            size += len(part[-1])
-            if len(part) >= TEXTS or size >= CHARS:
+    def batches(self, texts):
+        """encode() over slices of bounded size of an Arrow column of texts; null texts are empty."""
+        for k in range(0, len(texts), TEXTS):
+            part, size = [], 0
+            for x in texts.slice(k, TEXTS).to_pylist():
+                part.append(x or "")
+                size += len(part[-1])
+                if size >= CHARS:
+                    yield from self.encode(part)
+                    part, size = [], 0
+            if part:
                 yield from self.encode(part)
-                part, size = [], 0
-        if part:
-            yield from self.encode(part)
 
 
 @lru_cache(maxsize=4)

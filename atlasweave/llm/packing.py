@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, chunks: str = "spaced"
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             rows, held = [], 0
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.batches(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.batches(batch.column(1)), strict=True):
                 flat = np.frombuffer(ids + end, enc.dtype).astype("<u4")
                 for k in range(0, len(flat), most):
                     part = flat[k : k + most]

@@ -98,7 +98,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
             if batch.num_rows and writer is None:
                 writer = _Writer(folder, f"part-{part:06d}", enc.dtype)
             doc_ids, held = batch.column(0).to_pylist(), []
-            for ids in enc.batches(batch.column(1).to_pylist()):
+            for ids in enc.batches(batch.column(1)):
                 held.append(ids + end)
                 if len(held) == 256:
                     writer.add(doc_ids[:256], held)

@@ -153,6 +153,22 @@ def test_token_files_hold_equal_sequences(spark, docs):
     assert tokenfiles.read(spark, tokenfiles.write(empty(docs), vocabulary("word_bpe_49k.json"), 1)).count() == 0
 
 
+@pytest.mark.parametrize(("name", "chunks"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")])
+def test_cached_encoder_equals_the_tokenizer(monkeypatch, name, chunks):
+    import pyarrow as pa
+
+    from atlasweave.llm import encoders
+
+    monkeypatch.setattr(encoders, "CAP", 300)
+    own = encoders.CachedEncoder(vocabulary(name), chunks)
+    rng = np.random.default_rng(6)
+    letters = ["a", "The", "déjà", "ÉTÉ", "İ", "ſ", "Σας", "ß", "don't", "x's", "12", " ", " ", "  ", "\n", "\n\n", "\t", " ", "\x85", ",", ".", "!?", "é", "日本", "🙂", "<|endoftext|>", "\0"]
+    odd = [t for _, t, _ in HARD] + ["".join(rng.choice(letters, rng.integers(0, 25))) for _ in range(4000)]
+    want = [np.array(e.ids, own.dtype).tobytes() for e in own.tokenizer.encode_batch_fast([t or "" for t in odd], add_special_tokens=False)]
+    got = list(own.batches(pa.array(odd)))
+    assert [odd[i] for i in range(len(odd)) if got[i] != want[i]] == []
+
+
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 
