@@ -24,7 +24,7 @@ def _starred(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and component (the smallest node reached) of each node of edges (a, b).
+    """node and component (the smallest node reached) of each node of edges (a, b) but the smallest of a component itself.
 
     Each round links every node's larger neighbours, then its smaller ones, to its smallest neighbour; the rounds grow as
     the logarithm of the longest path. A hub is only in minima, which are partly taken before the shuffle, and in joins

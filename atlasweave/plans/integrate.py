@@ -112,7 +112,7 @@ def proximity(units: DataFrame, clusters: DataFrame, official: tuple[str, ...] =
     ruled = read.withColumn("rule", proximity_rule(F.col("distance_m"), F.col("_r.similarity"), F.col("_r.inside"), F.col("_near"))).where("rule is not null")
     pairs = ruled.select(F.col("l_unit_id").alias("a"), F.col("r_unit_id").alias("b"), F.col("l_cluster_id").alias("a_cluster"), F.col("r_cluster_id").alias("b_cluster"), F.col("l_source").alias("a_official"), F.lit(None).cast("string").alias("b_official"), F.col("_r.similarity").alias("similarity"), "distance_m")
     found = graph.components(pairs.select(F.col("a_cluster").alias("a"), F.col("b_cluster").alias("b")))
-    grouped = pairs.join(found, pairs.a_cluster == found.node).drop("node")
+    grouped = pairs.join(found, pairs.a_cluster == found.node, "left").withColumn("component", F.coalesce("component", "a_cluster")).drop("node")
     return joins.one_per_group(grouped).select("a", "b", F.lit("proximity").alias("tier"))
 
 

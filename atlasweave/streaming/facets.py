@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def windowed_counts(events: DataFrame, at: str, key: str, window: str = "1 day", late: str = "2 days") -> DataFrame:
     """n and total of each key and window of event time; events later than the watermark are dropped, so state is bounded."""
-    return events.withWatermark(at, late).groupBy(F.window(at, window).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), key, "n", "total")
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, window).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), key, "n", "total")
 
 
 def run_to_end(spark: SparkSession, counts: DataFrame, path: str, checkpoint: str) -> DataFrame:
