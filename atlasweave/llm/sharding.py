@@ -5,7 +5,7 @@ chance grows with its bytes gives splitters at its quantiles; they cut the recor
 exact bytes of each range are then counted, and a range that got more than ``OVERFULL`` times its share (a sample errs,
 and copies of one text share their hash) gets splitters of its own from a denser sample. Bytes before a record are those
 of the ranges before its range and of the records before it there, and say which shard it goes to: shard sizes differ by
-less than the two records at a shard's ends. No range grows with the input, and none is sorted but by itself.
+less than the two records at a shard's ends.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SHARDS = 24
-#: Ranges at least, and records for each range that the number of ranges follows.
-RANGES, RECORDS = 96, 20_000
+#: Ranges at least and at most, and records for each range that the number of ranges follows between. Splitters stand in
+#: the plan, so their number is bounded; beyond it ranges grow, and each is one sort that can spill.
+RANGES, MOST_RANGES, RECORDS = 96, 2048, 20_000
 #: Sampled keys for each range, times its share that is overfull, and rounds of subdividing.
 DRAWN, OVERFULL, ROUNDS = 32, 2.0, 4
 #: Splitters are looked up by so many leading bits of the hash.
@@ -85,7 +86,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if not n:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    ranges = max(RANGES, n // RECORDS)
+    ranges = min(MOST_RANGES, max(RANGES, n // RECORDS))
     cuts = _splitters(_drawn(rows, total / (ranges * DRAWN), 0), ranges)
     for seed in range(1, ROUNDS + 1):
         placed = rows.withColumn("range", _range_of(cuts))
