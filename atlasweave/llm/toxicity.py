@@ -34,7 +34,7 @@ BLOCK = 128
 WINDOW = 64
 #: Twice the logarithm of the likelihood ratio that makes an attribute a mark of toxic documents.
 MARKED = 26.0
-CAP = 1_000_000
+CAP = 100_000
 
 
 #: Lengths of the word beginnings that are attributes, and how many attributes a word has.
@@ -294,25 +294,36 @@ def held_out(doc_id):
 
 
 class Scorer:
-    """Scores of words are remembered; texts go through in slices of bounded size."""
+    """Scores of words are remembered (CAP new ones, and the CAP before); texts go through in slices of bounded size."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
+        self.model, self.known, self.old = model, {}, {}
+        self.weights = model.weights.tolist()
+
+    def word_score(self, word: str) -> float:
+        """As the model's, in plain floats."""
+        weights, out = self.weights, self.model.bias
+        for a in attributes(word):
+            out += weights[zlib.crc32(a.encode()) % SLOTS]
+        return -20.0 if out < -20 else 20.0 if out > 20 else out
 
     def _scores(self, words: list[str]) -> list[float]:
         found = list(map(self.known.get, words))
         if None in found:
             if len(self.known) > CAP:
-                self.known.clear()
+                self.known, self.old = {}, self.known
+            known, old = self.known, self.old
             for k, x in enumerate(found):
                 if x is None:
                     w = words[k]
-                    found[k] = x = self.known.get(w)
+                    x = known.get(w)
                     if x is None:
-                        found[k] = self.known[w] = self.model.word_score(w)
+                        x = old.get(w)
+                        known[w] = x = self.word_score(w) if x is None else x
+                    found[k] = x
         return found
 
-    def slices(self, texts: list[str | None], spans: bool = False, most: int = 300_000) -> Iterator[tuple[np.ndarray, list | None]]:
+    def slices(self, texts: list[str | None], spans: bool = False, most: int = 150_000) -> Iterator[tuple[np.ndarray, list | None]]:
         """(document scores, offending (start, end) places of each, if asked for)."""
         held, counts, places = [], [], []
         for text in texts:
@@ -323,7 +334,7 @@ class Scorer:
                 places.append([m.span() for m in WORD.finditer(low)] if len(low) == len(text or "") else [m.span() for m in WORD.finditer(text)])
             held.append(self._scores(words))
             counts.append(len(words))
-            if sum(counts[-1:]) and len(counts) % 64 == 0 and sum(counts) >= most:
+            if len(counts) % 16 == 0 and sum(counts) >= most:
                 yield self._done(held, counts, places if spans else None)
                 held, counts, places = [], [], []
         if counts:
