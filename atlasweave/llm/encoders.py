@@ -7,6 +7,7 @@ white space the tokenizer and Python see differently, or that spell a special to
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -26,6 +27,10 @@ SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
 
+def is_odd(text: str) -> bool:
+    return "<|" in text or (not text.replace("\n", "").isprintable() and ODD.search(text) is not None)
+
+
 def words(text: str) -> list[str]:
     """Words, for a tokenizer that lower-cases: in Latin-1, where all agree on lower case, already so."""
     try:
@@ -105,10 +110,19 @@ class CachedEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of self.dtype."""
+        on = gc.isenabled()
+        gc.disable()  # many lists and no cycles: looking for these would take a tenth of the time
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CAP:
             self.old, self.known = self.known, {"": b""}
         get = self.known.get
-        odd = [bool(ODD.search(x)) for x in texts]
+        odd = list(map(is_odd, texts))
         parts = [[] if o else self.chunks(x) for x, o in zip(texts, odd, strict=True)]
         found = [list(map(get, p)) for p in parts]
         gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
