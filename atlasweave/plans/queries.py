@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo, identity, text
+from ..functions import display, geo, identity, money, text
 from ..operators import aggregates, checks, graph, joins, search, windows
 from ..sources import readers, sinks
+from . import integrate
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -506,3 +507,139 @@ def area_descendants(spark, sf):
     tree = nations.select((F.col("n_nationkey") + 100).alias("area_id"), (F.col("n_regionkey") + 10).alias("parent")).union(regions.select(F.col("r_regionkey") + 10, F.lit(1))).union(spark.range(1).select(F.lit(1), F.lit(None).cast("int")))
     tree.createOrReplaceTempView("_areas")
     return aggregates.descendants(spark, "_areas").groupBy("area_id").agg(F.count("*").alias("n"), F.max("descendant").alias("last"))
+
+
+# --- further operators ---------------------------------------------------------------------------------------------
+
+
+@query("""with c as (select user_id, event_type, count(*) as n from events where event_id % 3 <> 0 group by all), t as (select user_id, event_type, count(distinct cast(floor(value / 50) as int)) as k from events group by all) select user_id, bool_or(n > coalesce(k, 0)) as tallied from c left join t using (user_id, event_type) group by 1""")
+def tallied(spark, sf):
+    events = _t(spark, sf, "events")
+    counts = events.where("event_id % 3 <> 0").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return aggregates.tallied(events.withColumn("title", F.floor(F.col("value") / 50)), counts, "user_id", "event_type", "title", "n")
+
+
+_IMAGES = "(select l_orderkey as owner, 'u' || (l_partkey % 9) as url, 'c' || (l_partkey % 6) as sha256, l_returnflag = 'R' as rejected, l_linenumber % 3 as tier, l_discount as score, l_linenumber * 10000000 + l_suppkey * 10 + l_partkey % 9 as pos from lineitem)"
+
+
+@query(f"""with a as (select *, row_number() over (partition by owner, url order by rejected, tier, score desc, pos) as n from {_IMAGES}), b as (select *, row_number() over (partition by owner, sha256 order by rejected, tier, score desc, pos) as m from a where n = 1),
+ c as (select *, bool_or(not rejected) over (partition by owner) as good, row_number() over (partition by owner order by rejected, tier, score desc, pos) as rank from b where m = 1) select owner, url, rank from c where rank <= 3 and (not rejected or (not good and rank = 1))""")
+def ranked_images(spark, sf):
+    rows = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("owner"), F.concat(F.lit("u"), F.col("l_partkey") % 9).alias("url"), F.concat(F.lit("c"), F.col("l_partkey") % 6).alias("sha256"), (F.col("l_returnflag") == "R").alias("rejected"), (F.col("l_linenumber") % 3).alias("tier"), F.col("l_discount").alias("score"), (F.col("l_linenumber") * 10000000 + F.col("l_suppkey") * 10 + F.col("l_partkey") % 9).alias("pos"))
+    return windows.ranked_images(rows, "owner").select("owner", "url", "rank")
+
+
+@query("""with p as (select p_partkey, 300 + p_partkey % 900 as w, 100 + p_partkey % 700 as h, case when p_partkey % 11 = 0 then null else 4000 + p_partkey * 37 % 200000 end as b, case when p_partkey % 5 = 0 then null else (p_size % 15)::double end as y from part),
+ c as (select *, w::double / h as ar, least(greatest(0.0::double, least(1.0::double, (w - 416)::double / 416)), greatest(0.0::double, least(1.0::double, (h - 148)::double / 148))) as res, case when y is null then 0.5::double else 1 - greatest(0.0::double, least(1.0::double, (y - 3.0::double) / 9.0::double)) end as rec, case when b is null then 0.5::double else greatest(0.0::double, least(1.0::double, (b::double / (w * h) - 0.04::double) / (0.12::double - 0.04::double))) end as det from p),
+ s as (select *, 45.0::double * res + 20.0::double * (case when ar between 1.1 and 2.2 then 1.0::double when ar < 1.1 then greatest(0.0::double, least(1.0::double, (ar - 0.6::double) / (1.1::double - 0.6::double))) else 1 - greatest(0.0::double, least(1.0::double, (ar - 2.2::double) / (5.0::double - 2.2::double))) end) + 25.0::double * rec + 10.0::double * det as raw, (w < 416 or h < 148 or coalesce(b < 12288, false) or not (ar between 0.6 and 5.0)) as bad from c)
+select p_partkey, round(case when bad then least(raw, 34.0::double) else raw end, 4) as score, case when bad then 'reject' when raw >= 60 then 'good' when raw >= 35 then 'ok' else 'weak' end as verdict from s""")
+def image_scores(spark, sf):
+    k = F.col("p_partkey")
+    size = F.when(k % 11 != 0, 4000 + k * 37 % 200000)
+    score, verdict = display.image_score(300 + k % 900, 100 + k % 700, size, F.when(k % 5 != 0, (F.col("p_size") % 15).cast("double")))
+    return _t(spark, sf, "part").select("p_partkey", F.round(score, 4).alias("score"), verdict.alias("verdict"))
+
+
+@query("""select doc_id, case when source = 'src1' then lang || ' | ' || source when lang = 'en' then lang else lang || ' | en' end as notes from documents""")
+def appended_notes(spark, sf):
+    rows = _t(spark, sf, "documents").select("doc_id", "lang", "source")
+    note = F.when(F.col("source") == "src1", F.col("source")).otherwise(F.lit("en"))
+    return rows.select("doc_id", display.with_note(F.col("lang"), note).alias("notes"))
+
+
+@query("""with r(code, rate) as (values (0, 1.0::double), (1, 150.5::double), (2, 7.25::double), (3, 0.92::double)) select o_orderkey, round(o_totalprice / a.rate * b.rate, 4) as converted from orders left join r a on a.code = o_orderkey % 5 left join r b on b.code = o_custkey % 5""")
+def converted_money(spark, sf):
+    rates = F.broadcast(spark.createDataFrame([(0, 1.0), (1, 150.5), (2, 7.25), (3, 0.92)], "code long, rate double"))
+    rows = _t(spark, sf, "orders").withColumns({"ca": F.col("o_orderkey") % 5, "cb": F.col("o_custkey") % 5})
+    both = rows.join(rates.select(F.col("code").alias("ca"), F.col("rate").alias("ra")), "ca", "left").join(rates.select(F.col("code").alias("cb"), F.col("rate").alias("rb")), "cb", "left")
+    return both.select("o_orderkey", F.round(display.converted(F.col("o_totalprice"), F.col("ra"), F.col("rb")), 4).alias("converted"))
+
+
+@query("""with m as (select event_id, value * value as m from events) select event_id, case when m < 10 then printf('%.1f m', floor(m * 10 + 0.5) / 10) when m < 999.5 then cast(cast(floor(m + 0.5) as bigint) as varchar) || ' m' when m / 1000 < 10 then printf('%.1f km', floor(m / 100 + 0.5) / 10) else format('{:,}', cast(floor(m / 1000 + 0.5) as bigint)) || ' km' end as shown from m""")
+def distance_texts(spark, sf):
+    return _t(spark, sf, "events").select("event_id", display.distance_text(F.col("value") * F.col("value")).alias("shown"))
+
+
+@query("""with f as (select event_id, case when event_type = 'error' then cast(null as bigint) else cast(json_extract(props, '$.k') as bigint) end as k from events) select event_id, k, case when k < 20 then 'low' when k is null then 'no_number' when event_id % 2 = 0 then 'even' end as reject_reason from f""")
+def parsed_payloads(spark, sf):
+    rows = _t(spark, sf, "events").withColumn("k", F.when(F.col("event_type") != "error", F.from_json("props", "k long")["k"]))
+    return readers.rejected(rows, [(F.col("k") < 20, "low"), (F.col("k").isNull(), "no_number"), (F.col("event_id") % 2 == 0, "even")]).select("event_id", "k", "reject_reason")
+
+
+@query("""with u as (select user_id, event_id, event_type, value from events where event_type in ('click', 'view') union all select user_id, event_id, event_type, null from events where event_type = 'purchase') select user_id, list_sort(list(distinct event_type)) as kinds, arg_min(value, event_id) filter (where value is not null) as value from u group by 1""")
+def merged_results(spark, sf):
+    events = _t(spark, sf, "events").select("user_id", "event_id", F.array("event_type").alias("kinds"), "value")
+    parts = [events.where(F.col("kinds")[0] == k) for k in ("click", "view")] + [events.where(F.col("kinds")[0] == "purchase").drop("value")]
+    # The first value by event is the latest by its negative.
+    tagged = [p.withColumn("_o", -F.col("event_id")).drop("event_id") for p in parts]
+    rows = readers.merged_by_id(tagged, "user_id", ["kinds"], "_o")
+    return rows.select("user_id", "kinds", "value")
+
+
+@query(f"""with a(area_id, lat, lng, level) as (select n_nationkey, {_lat('n_nationkey + 1000')}, {_lng('n_nationkey + 1000')}, case when n_nationkey % 2 = 0 then 'city' else 'district' end from nation where n_nationkey % 6 <> 0)
+select c_custkey, case when c_custkey % 3 = 0 then a.lat else {_lat('c_custkey')} end as lat, case when c_custkey % 3 = 0 then a.lng else {_lng('c_custkey')} end as lng, c_custkey % 3 = 0 and a.lat is not null as approx, case when c_custkey % 3 = 0 then a.level end as approx_level from customer left join a on a.area_id = c_nationkey""")
+def placed_by_area(spark, sf):
+    areas = _t(spark, sf, "nation").where("n_nationkey % 6 <> 0").withColumn("_k", F.col("n_nationkey") + 1000)
+    areas = _at(areas, "_k").select(F.col("n_nationkey").alias("area_id"), "lat", "lng", F.when(F.col("n_nationkey") % 2 == 0, "city").otherwise("district").alias("level"))
+    rows = _at(_t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("area_id")), "c_custkey").withColumns({c: F.when(F.col("c_custkey") % 3 != 0, F.col(c)) for c in ("lat", "lng")})
+    return checks.placed(rows, areas).select("c_custkey", "lat", "lng", "approx", "approx_level")
+
+
+@query(f"""with p as (select o_orderkey, o_custkey, o_orderstatus, o_orderpriority, case o_orderstatus when 'F' then 'location' when 'O' then 'name' else 'phone' end as field, {_lat('o_custkey')} as a, {_lng('o_custkey')} as b, {_lat('o_custkey')} + (o_orderkey % 50)::double / 1000 as lat, {_lng('o_custkey')} as lng from orders),
+ q as (select *, {_hav('a', 'b', 'lat', 'lng', geo.RADIUS_M)} as gain from p)
+select o_orderkey, case when o_custkey % 100 = 0 then 'unknown_row' when field = 'phone' then 'field' when o_orderpriority like '5%' then 'confidence' when o_orderkey % 13 = 0 then 'evidence' when o_orderkey % 17 = 0 then 'quote' when field = 'location' and not (lat between -90 and 90 and lng between -180 and 180) then 'position' when field = 'location' and gain < 2000 then 'small_move' end as reason from q""")
+def judged_corrections(spark, sf):
+    orders = _at(_t(spark, sf, "orders").withColumn("id", F.col("o_custkey")), "o_custkey").withColumn("lat", F.col("lat") + (F.col("o_orderkey") % 50) / 1000)
+    field = F.when(F.col("o_orderstatus") == "F", "location").when(F.col("o_orderstatus") == "O", "name").otherwise("phone")
+    proposals = orders.select("o_orderkey", "id", field.alias("field"), F.when(F.col("o_orderpriority").startswith("5"), "low").otherwise("high").alias("confidence"), F.when(F.col("o_orderkey") % 13 != 0, "https://x.example/").alias("evidence_url"), F.when(F.col("o_orderkey") % 17 == 0, " ").otherwise("said").alias("quote"), "lat", "lng")
+    rows = _at(_t(spark, sf, "customer").where("c_custkey % 100 <> 0").select(F.col("c_custkey").alias("id")), "id")
+    return checks.judged_corrections(proposals, rows).select("o_orderkey", "reason")
+
+
+@query(f"""with c as (select c_custkey, s_suppkey, {_lat('c_custkey')} as lat, {_lng('c_custkey')} as lng, {_lat('s_suppkey')} as alat, {_lng('s_suppkey')} as alng, c_nationkey as city, s_nationkey as acity from customer join supplier on c_custkey % 100 = s_suppkey)
+select c_custkey, case when {_hav('lat', 'lng', 'alat', 'alng', geo.RADIUS_KM)} > 5060 then 'distance' when instr(city::varchar, acity::varchar) = 0 and instr(acity::varchar, city::varchar) = 0 then 'city' end as refused_by from c""")
+def geocode_gate(spark, sf):
+    suppliers = _at(_t(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("area_city")), "s_suppkey").withColumnsRenamed({"lat": "area_lat", "lng": "area_lng"})
+    rows = _at(_t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("city")), "c_custkey").join(suppliers, F.col("c_custkey") % 100 == F.col("s_suppkey"))
+    return checks.geocode_gate(rows.withColumn("radius_km", F.lit(5000.0))).select("c_custkey", "refused_by")
+
+
+@query("""with e as (select user_id, cast(dayofweek(ts) + 6 as int) % 7 as day, min(ts) as first, count(*) as n from events where user_id < 100000 group by 1, 2), s as (select user_id, day, case when n % 3 = 0 then 'closed' else '10:00-' || (18 + n % 4) || ':00' end as times from e),
+ l as (select *, lag(day) over w as pd, lag(times) over w as pt from s window w as (partition by user_id order by day)), r as (select *, sum(case when pd is null or day <> pd + 1 or times <> pt then 1 else 0 end) over (partition by user_id order by day) as run from l),
+ g as (select user_id, run, min(day) as f, max(day) as z, count(*) as len, any_value(times) as times from r group by 1, 2), t as (select *, ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'] as d from g)
+select user_id, string_agg(case when f = z then d[f+1] else d[f+1] || '-' || d[z+1] end || ' ' || times, '; ' order by f) as hours from t group by 1 having sum(len) = 7""")
+def opening_hours(spark, sf):
+    days = _t(spark, sf, "events").groupBy("user_id", F.weekday("ts").alias("day")).agg(F.count("*").alias("n"))
+    rows = days.select("user_id", "day", F.lit("10:00").alias("opens"), F.concat((18 + F.col("n") % 4).cast("string"), F.lit(":00")).alias("closes"), (F.col("n") % 3 == 0).alias("closed"))
+    return windows.opening_times(rows, "user_id")
+
+
+@query("""with t as (select n_nationkey + 100 as area_id, n_name as name, n_regionkey + 10 as parent, 1 as depth from nation union all select r_regionkey + 10, r_name, null, 0 from region),
+ r as (select c_custkey, r_name || ' / ' || n_name || ' / ' || c_name as text from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+ m as (select c_custkey, text, arg_min(area_id, (instr(text, name), -length(name), area_id)) as p from r join t on depth = 0 and instr(text, name) > 0 group by 1, 2)
+select c_custkey, arg_min(t.area_id, (instr(text, name), -length(name), t.area_id)) as area_id, 'city' as level from m join t on depth = 1 and t.parent = m.p and instr(text, name) > 0 group by 1""")
+def areas_named(spark, sf):
+    nation, region = _t(spark, sf, "nation"), _t(spark, sf, "region")
+    areas = nation.select((F.col("n_nationkey") + 100).alias("area_id"), F.col("n_name").alias("name"), (F.col("n_regionkey") + 10).alias("parent"), F.lit(1).alias("depth")).union(region.select(F.col("r_regionkey") + 10, "r_name", F.lit(None).cast("int"), F.lit(0)))
+    rows = _t(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joins.areas_named(rows.select("c_custkey", F.concat_ws(" / ", "r_name", "n_name", "c_name").alias("text")), "text", areas, "c_custkey")
+
+
+@query("")
+def integrated_venues(spark, sf):
+    """The whole integration over units made of customers and suppliers; its tiers have no SQL form in bounded time."""
+    customers = _t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("Venue "), F.col("c_custkey") % 400).alias("name"), F.col("c_nationkey").alias("n"))
+    suppliers = _t(spark, sf, "supplier").select((F.col("s_suppkey") * 7).alias("k"), F.concat(F.lit("Venue "), F.col("s_suppkey") * 7 % 400).alias("name"), F.col("s_nationkey").alias("n"))
+    rows = None
+    for source, df, shift in (("ziv", customers, 0.0), ("allnet", suppliers, 0.0003)):
+        lat, lng = geo.derived_position("k")
+        own = df.select(F.xxhash64(F.lit(source), "k").alias("unit_id"), F.lit(source).alias("source"), "name", F.format_string("%d Main Street Block", "k").alias("addr"), (lat + shift).alias("lat"), lng.alias("lng"), F.concat(F.lit("C"), "n").alias("country"), F.lit(None).cast("string").alias("source_url"), F.array(F.concat(F.lit("g"), F.col("k") % 5)).alias("games"))
+        rows = own if rows is None else rows.unionByName(own)
+    return integrate.venues(rows).drop("cluster_id")
+
+
+@query("")
+def parsed_prices(spark, sf):
+    """Prices written in many ways, parsed back; the grammar has no SQL form."""
+    rows = _t(spark, sf, "part").select("p_partkey", F.element_at(F.array(*[F.format_string(f, F.col("p_size")) for f in ("HK$%d.00 for 3 songs", "NT$%d / Standard Start / NT$90 / Premium Start", "%d tokens", "¥%d / 2 songs")]), (F.col("p_partkey") % 4 + 1).cast("int")).alias("text"), F.element_at(F.array(*map(F.lit, ("HKD", "TWD", "USD", "JPY"))), (F.col("p_partkey") % 4 + 1).cast("int")).alias("local"))
+    return rows.withColumn("p", money.price("text", "local")).select("p_partkey", "p.*").withColumn("plausible", money.plausible(F.col("amount"), F.col("currency")))
