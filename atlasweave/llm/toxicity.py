@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -134,9 +135,12 @@ def words_of(text: str | None) -> list[str]:
 
 def token_labels(docs: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]:
     """Tags of each document's words: attributes (word, beginnings) that mark toxic documents out."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    often = Counter(a for words, y in zip(docs, toxic, strict=True) if y for a in {a for w in set(words) for a in attributes(w)[:-1]})
+    often = {a: n for a, n in often.items() if n >= 3}
+    seen = (Counter(), often)
     for words, y in zip(docs, toxic, strict=True):
-        seen[int(y)].update({a for w in set(words) for a in attributes(w)[:-1]})
+        if not y:
+            seen[0].update({a for w in set(words) for a in attributes(w)[:-1] if a in often})
     share = max(1, int(toxic.sum())) / max(2, len(toxic))
 
     def mark(a: str, n: int) -> bool:
@@ -144,7 +148,7 @@ def token_labels(docs: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]:
         clean = seen[0][a]
         total = n + clean
         ratio = 2 * (n * math.log(n / (total * share)) + (clean * math.log(clean / (total * (1 - share))) if clean else 0))
-        return n >= 3 and n * (1 - share) > 4 * (clean + 0.5) * share and ratio > MARKED
+        return n * (1 - share) > 4 * (clean + 0.5) * share and ratio > MARKED
 
     marks = {a for a, n in seen[1].items() if mark(a, n)}
     return [np.array([y and any(a in marks for a in attributes(w)[:-1]) for w in words], bool) for words, y in zip(docs, toxic, strict=True)]
@@ -231,12 +235,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
     return w
 
 
+#: Of a document's 3-word sequences the smallest hashes, which stand for all when copies are looked for.
+SKETCH = 24
+
+
 def without_copies(docs: list[list[str]]) -> list[int]:
-    """Indices of documents of which at most 40 % of the 3-word sequences stood in earlier ones: copies would count as evidence again and again."""
+    """Indices of documents of whose sketch at most 40 % stood in earlier ones: copies would count as evidence again and again."""
     seen: set[int] = set()
     out = []
     for i, words in enumerate(docs):
-        own = {zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))}
+        own = set(nsmallest(SKETCH, {zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))}))
         if 5 * len(own & seen) <= 2 * len(own):
             out.append(i)
             seen |= own
@@ -248,7 +256,9 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model:
 
     Needs both classes; else scores are constant.
     """
-    docs = [words_of(t) for t in texts]
+    one: dict[str, str] = {}
+    docs = [[one.setdefault(w, w) for w in words_of(t)] for t in texts]  # a word is held once
+    del one
     own = without_copies(docs)
     docs, toxic = [docs[i] for i in own], toxic[own]
     if not toxic.any() or toxic.all():
