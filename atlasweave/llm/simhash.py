@@ -33,6 +33,8 @@ RADIUS = 2
 TABLES = 2 ** (RADIUS + 1) - 1
 #: Shingle hashes that are held at once, and the most in a 16-bit counter.
 HELD, COUNTER = 1_000_000, 65_535
+#: Tasks at least, and rows of edges that fill one.
+LEAST_TASKS, TASK_ROWS = 12, 250_000
 ONES = np.uint64(0x0001_0001_0001_0001)
 
 
@@ -145,7 +147,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = _star(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         small = _star(down).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        then = materialise(small, "edges")
+        # As many files as the edges need; there are at most as many as in the round before.
+        then = materialise(small.coalesce(max(LEAST_TASKS, before[0] // TASK_ROWS)) if before else small, "edges")
         digest = then.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
         release(now)
         now = then
