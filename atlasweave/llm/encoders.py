@@ -14,42 +14,52 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CAP = 300_000
+CAP = 600_000
 LONGEST = 64
 #: Texts that are encoded at once: so many, or so many characters.
-TEXTS, CHARS = 256, 1_000_000
+TEXTS, CHARS = 2048, 4_000_000
 ODD = re.compile(r"[\x1c-\x1f\x85]|<\|")
 #: A word with the one space before it, or a run of white space, as byte-level pre-tokenization parts them.
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
 
-def is_odd(text: str) -> bool:
-    return "<|" in text or (not text.replace("\n", "").isprintable() and ODD.search(text) is not None)
+def words(text: str) -> str | None:
+    """The text with single spaces between its words, or null for an odd one."""
+    if "<|" in text:
+        return None
+    plain = text.replace("\n", " ")
+    return plain if plain.isprintable() else None if ODD.search(text) else " ".join(text.split())
 
 
-def words(text: str) -> list[str]:
-    """Words, for a tokenizer that lower-cases: in Latin-1, where all agree on lower case, already so."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text.split()
-    return text.lower().split()
-
+def spaced(text: str) -> str | None:
+    """The text with a zero character between its chunks (those of SPACED), or null for an odd one.
 
-def spaced(text: str) -> list[str]:
-    """As SPACED; where no two white characters meet and none but spaces and line ends is there, by plain splitting."""
+    Where no two white characters meet and none but spaces and line ends is there, chunks begin at each of these.
+    """
+    if "<|" in text:
+        return None
     if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or not text.replace("\n", "").isprintable():
-        return SPACED.findall(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return None if "\0" in text or ODD.search(text) else "\0".join(SPACED.findall(text))
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0")
 
 
-CHUNKS = {"words": words, "spaced": spaced}
+def lowered(word: str) -> str:
+    """Lower case, for words in Latin-1, where the tokenizer's is the same."""
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return word
+    return word.lower()
 
 
+#: How texts part: the function, what it puts between chunks, and whether the tokenizer lower-cases.
+CHUNKS = {"words": (words, " ", True), "spaced": (spaced, "\0", False)}
 #: A mark that may follow a word of letters; pre-tokenization parts it from them.
 MARKS = frozenset(",.;:!?")
 #: Words of letters that are encoded as one text.
@@ -61,7 +71,7 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.spaced = CHUNKS[chunks], chunks == "spaced"
+        (self.chunks, self.between, self.lower), self.spaced = CHUNKS[chunks], chunks == "spaced"
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2") if len(vocabulary) <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -92,21 +102,26 @@ class CachedEncoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of chunks that aren't known."""
-        stems = {w: w[:-1] for w in new if w[-1] in MARKS and len(w) > 1 and self._plain(w[:-1])}
-        wanted = [w for w in dict.fromkeys(stems.get(w, w) for w in new) if w not in self.known]
-        plain = [w for w in wanted if self._plain(w)]
-        seen = set(plain)
-        rest = [w for w in wanted if w not in seen]
-        out = dict(zip(rest, self.whole(rest), strict=True)) if rest else {}
-        for k in range(0, len(plain), JOINED):
-            out.update(zip(plain[k : k + JOINED], self._joined(plain[k : k + JOINED]), strict=True))
-        self.known.update((w, x) for w, x in out.items() if len(w) <= LONGEST)
-        known = self.known
-        with_marks = {w: (out.get(s) or known[s]) + self.marks[w[-1]] for w, s in stems.items()}
-        known.update((w, x) for w, x in with_marks.items() if len(w) <= LONGEST)
-        return out | with_marks
+    def _learn(self, new: set[str]) -> None:
+        """Puts the ids of chunks that aren't known into self.known."""
+        known, marks, plain = self.known, self.marks, self._plain
+        stems, letters, rest = [], {}, []
+        for w in new:
+            stem = w[:-1] if w[-1] in MARKS else w
+            if not stem or not plain(stem):
+                rest.append(w)
+                continue
+            if stem is not w:
+                stems.append((w, stem))
+            if stem not in known:
+                letters[stem] = None
+        found = list(letters)
+        for k in range(0, len(found), JOINED):
+            known.update(zip(found[k : k + JOINED], self._joined(found[k : k + JOINED]), strict=True))
+        for w, stem in stems:
+            known[w] = known[stem] + marks[w[-1]]
+        if rest:
+            known.update(zip(rest, self.whole(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of self.dtype."""
@@ -119,36 +134,56 @@ class CachedEncoder:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        """Chunks are parted and made distinct in Arrow; distinct ones are looked up, and ids gathered in numpy."""
+        ready = list(map(self.chunks, texts))
+        lists = pc.split_pattern(pa.array([x or "" for x in ready], pa.large_string()), self.between)
+        offsets = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        ids = self._ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        begins, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), self.dtype)
+        own = sizes[at]
+        ends = np.append(0, np.cumsum(own))
+        raw = flat[np.repeat(begins[at] - ends[:-1], own) + np.arange(ends[-1])].tobytes()
+        cuts = (ends[offsets] * self.dtype.itemsize).tolist()
+        return [raw[a:b] if x is not None else self.whole([t])[0] for t, x, a, b in zip(texts, ready, cuts, cuts[1:])]
+
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
         if len(self.known) > CAP:
             self.old, self.known = self.known, {"": b""}
-        get = self.known.get
-        odd = list(map(is_odd, texts))
-        parts = [[] if o else self.chunks(x) for x, o in zip(texts, odd, strict=True)]
-        found = [list(map(get, p)) for p in parts]
-        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
-        new = {p[i] for p, g in zip(parts, gaps, strict=True) for i in g}
-        fresh = {w: self.old[w] for w in new if w in self.old}
-        self.known.update(fresh)
-        fresh |= self._learn(list(new - fresh.keys()))
-        out = []
-        for x, o, p, f, g in zip(texts, odd, parts, found, gaps, strict=True):
-            for i in g:
-                f[i] = fresh[p[i]]
-            out += self.whole([x]) if o else [b"".join(f)]
-        return out
+        keys = list(map(lowered, chunks)) if self.lower else chunks
+        known, old = self.known, self.old
+        found = list(map(known.get, keys))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        new = set()
+        for i in gaps:
+            w = keys[i]
+            x = old.get(w)
+            if x is None:
+                new.add(w)
+            else:
+                known[w] = x
+        self._learn(new)
+        for i in gaps:
+            found[i] = known[keys[i]]
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        return found
 
     def batches(self, texts):
         """encode() over slices of bounded size of an Arrow column of texts; null texts are empty."""
-        for k in range(0, len(texts), TEXTS):
-            part, size = [], 0
-            for x in texts.slice(k, TEXTS).to_pylist():
+        part, size = [], 0
+        for k in range(0, len(texts), 256):
+            for x in texts.slice(k, 256).to_pylist():
                 part.append(x or "")
                 size += len(part[-1])
-                if size >= CHARS:
+                if size >= CHARS or len(part) >= TEXTS:
                     yield from self.encode(part)
                     part, size = [], 0
-            if part:
-                yield from self.encode(part)
+        if part:
+            yield from self.encode(part)
 
 
 @lru_cache(maxsize=4)

@@ -24,6 +24,7 @@ from .common import materialise
 from .encoders import encoder
 
 MAX = 2048
+LEAST_TASKS, TASK_ROWS = 12, 250_000
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, chunks: str = "spaced", with_ids: bool = True, most: int = MAX, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,7 +127,8 @@ def assign(found: DataFrame, most: int = MAX) -> DataFrame:
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     with_rank = ranked(found, buckets)
     schema = ", ".join(f"{n} {t}" for n, t in with_rank.dtypes if n != "rank") + ", sequence_id long, offset long"
-    return with_rank.mapInArrow(run, schema)
+    # Rows are short: so many fill a task, and the result isn't left in files of a few rows.
+    return with_rank.coalesce(max(LEAST_TASKS, sum(histogram.values()) // TASK_ROWS)).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, with_ids: bool = False, **options) -> DataFrame:
