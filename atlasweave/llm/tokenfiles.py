@@ -28,6 +28,8 @@ from .common import scratch_path
 from .encoders import encoder
 
 LENGTH, ROWS = 2048, 128
+#: Files that one task reads back.
+FILES = 8
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -159,5 +161,5 @@ def read(spark, files: list[tuple[str, int, int]]) -> DataFrame:
 
     paths = spark.createDataFrame(rows, "file string, first long")
     if rows:
-        paths = paths.repartitionByRange(len(rows), "first")
+        paths = paths.repartitionByRange(len(rows), "first").coalesce(-(-len(rows) // FILES))
     return paths.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
