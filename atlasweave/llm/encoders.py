@@ -79,6 +79,7 @@ class CachedEncoder:
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         self.edge[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if self.spaced else t.endswith("</w>"))]] = True
         self.marks = dict(zip(sorted(MARKS), self.whole(sorted(MARKS)), strict=True))
+        self.tokenizer.model._resize_cache(0)  # noqa: SLF001  its own cache would only be written: each chunk comes once
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
