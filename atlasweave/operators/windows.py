@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import _written
 
-def dense_ids(rows: DataFrame, order: list[Column], out: str = "id", parts: int | None = None) -> DataFrame:
-    """rows with ids 1, 2, ... in order, without bringing all rows to one task.
 
-    Rows are dealt to ranges of the order; the counts of the ranges before give each range's first id.
-    """
-    sorted_rows = (rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
-    placed = sorted_rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    from .graph import _written
+def dense_ids(rows: DataFrame, order: list[Column], out: str = "id", within: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """rows with ids 1, 2, ... in order (in each group of the columns within), without bringing all rows to one task.
 
-    placed = _written(placed)  # the ranges stay as they are for both uses
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    begins = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
-    return placed.join(begins, "_part").withColumn(out, F.col("_begin") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_first", "_begin")
+    Rows are dealt to ranges of the order; the counts of the ranges before give each range's first id. A group of any
+    size is spread over ranges like all rows.
+    """
+    within = within or []
+    keys = [F.col(c) for c in within] + order
+    sorted_rows = (rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+    # The ranges stay as they are for both uses.
+    placed = _written(sorted_rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    counts = placed.groupBy("_part", *within).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    begins = counts.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)], "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(within):
+        same = same & F.col(c).eqNullSafe(F.col(f"_w{i}"))
+    numbered = placed.join(begins, same).withColumn(out, F.col("_begin") + F.col("_at") - F.col("_first") + 1)
+    return numbered.select(*rows.columns, out)
 
 
 def top_of_group(rows: DataFrame, key: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:
@@ -46,8 +53,7 @@ def islands(rows: DataFrame, key: list[str], position: str, same: list[str]) ->
 
 def parts(rows: DataFrame, layer: str, order: list[Column], size: int = 1990) -> DataFrame:
     """rows with their place in a layer and the part (A, B, ...) of at most size rows that it goes to."""
-    w = Window.partitionBy(layer).orderBy(*order)
-    numbered = rows.withColumn("place", F.row_number().over(w))
+    numbered = dense_ids(rows, order, "place", [layer])
     return numbered.withColumn("part", F.chr((F.floor((F.col("place") - 1) / size) + 65).cast("long")))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from atlasweave.functions import geo, money, scripts, text
 from atlasweave.operators import checks, graph, joins, search, windows
 from atlasweave.plans import integrate
-from atlasweave.sources import readers, sinks
+from atlasweave.sources import geocoders, readers, sinks
 from atlasweave.streaming import facets
 
 
@@ -169,3 +169,28 @@ def test_streaming_counts(spark, small, tmp_path):
     got = facets.run_to_end(spark, facets.windowed_counts(stream, "ts", "event_type"), str(tmp_path / "out"), str(tmp_path / "check"))
     want = spark.read.parquet(str(tmp_path / "in")).groupBy(F.to_date("ts"), "event_type").count()
     assert got.agg(F.sum("n")).first()[0] == want.agg(F.sum("count")).first()[0] and got.count() == want.count()
+
+
+def test_geocoders(spark):
+    bodies = [
+        ('{"status": "1", "geocodes": [{"location": "bad"}, {"location": "121.5,31.2", "level": "poi"}]}', "text", (31.2, 121.5, "poi")), ('{"status": "0"}', "text", None), ("broken", "text", None),
+        ('{"status": "OK", "results": [{"geometry": {"location": {"lat": 1.5, "lng": 2.5}, "location_type": "ROOFTOP"}}]}', "object", (1.5, 2.5, "ROOFTOP")), ('{"status": "REQUEST_DENIED", "results": []}', "object", None),
+        ('{"content": [{"x": 100, "y": 200, "std_tag": "道路"}, {"x": 1, "y": 2, "std_tag": "停车场"}, {"x": 300, "y": 400, "std_tag": "购物"}]}', "projected", (3.0, 4.0, "place")), ('{"content": [{"x": 100, "y": 200, "std_tag": "道路"}]}', "projected", (1.0, 2.0, "street")),
+    ]
+    df = spark.createDataFrame([(b,) for b, _, _ in bodies], "body string")
+    rows = df.select(geocoders.text_point(F.col("body")).alias("text"), geocoders.object_point(F.col("body")).alias("object"), geocoders.projected_point(F.col("body")).alias("projected")).collect()
+    assert [tuple(r[k])[:3] if r[k] else None for r, (_, k, _) in zip(rows, bodies, strict=True)] == [w for _, _, w in bodies]
+    venues = spark.createDataFrame([(1, "A  St", None, None), (2, "a st", None, None), (3, "B St", None, None), (4, "C", 1.0, 1.0), (5, None, None, None)], "id int, addr string, lat double, lng double")
+    cache = spark.createDataFrame([("b st", 5.0, 6.0), ("x", None, None)], "addr_key string, lat double, lng double")
+    assert [(r.addr_key, r.rows) for r in geocoders.work_list(venues, cache).collect()] == [("a st", 2)]
+    assert {r.id: (r.lat, r.from_cache) for r in geocoders.from_cache(venues, cache).collect()} == {1: (None, False), 2: (None, False), 3: (5.0, True), 4: (1.0, False), 5: (None, False)}
+
+
+def test_ids_within_groups(spark):
+    df = spark.range(500).select((F.col("id") % 3 * F.when(F.col("id") % 7 != 0, 1)).alias("g"), (F.col("id") * 37 % 101).alias("o"), "id")
+    got = windows.dense_ids(df, [F.col("o"), F.col("id")], "n", ["g"]).collect()
+    want = {}
+    for g in {r.g for r in got}:
+        for n, r in enumerate(sorted((r for r in got if r.g == g), key=lambda r: (r.o, r.id)), 1):
+            want[r.id] = n
+    assert len(got) == 500 and {r.id: r.n for r in got} == want
