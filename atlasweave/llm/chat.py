@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 START, BETWEEN, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 LOSS_ROLE = "assistant"
 HELD = 16_000_000
@@ -136,7 +138,7 @@ def formatted(turns: DataFrame) -> DataFrame:
     """
     rows = turns.select(F.col("conv_id").cast("long"), "turn", F.col("role").cast("string"), F.col("text").cast("string"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(_format_sorted, FORMATTED)
+    return mapped(ordered.select("conv_id", "role", "text"), _format_sorted, FORMATTED)
 
 
 TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
@@ -194,4 +196,4 @@ def digests(conversations: DataFrame) -> DataFrame:
 
     A conversation's parts follow each other in one task, so its digests are streams and hold no texts.
     """
-    return conversations.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return mapped(conversations, _digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -17,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import CACHES
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CAP = 600_000
+CAP = 400_000
 LONGEST = 64
 #: Texts that are encoded at once: so many, or so many characters.
 TEXTS, CHARS = 2048, 4_000_000
@@ -193,6 +195,9 @@ def encoder(path: str, chunks: str) -> CachedEncoder:
     return CachedEncoder(path, chunks)
 
 
+CACHES["encoders"] = encoder.cache_clear
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 

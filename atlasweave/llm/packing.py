@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import mapped, materialise
 from .encoders import encoder
 
 MAX = 2048
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, chunks: str = "spaced"
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, schema)
+    return mapped(texts, run, schema, "encoders")
 
 
 def _rows(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
@@ -128,7 +128,7 @@ def assign(found: DataFrame, most: int = MAX) -> DataFrame:
     with_rank = ranked(found, buckets)
     schema = ", ".join(f"{n} {t}" for n, t in with_rank.dtypes if n != "rank") + ", sequence_id long, offset long"
     # Rows are short: so many fill a task, and the result isn't left in files of a few rows.
-    return with_rank.coalesce(max(LEAST_TASKS, sum(histogram.values()) // TASK_ROWS)).mapInArrow(run, schema)
+    return mapped(with_rank.coalesce(max(LEAST_TASKS, sum(histogram.values()) // TASK_ROWS)), run, schema, "encoders")
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, with_ids: bool = False, **options) -> DataFrame:

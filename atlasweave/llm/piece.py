@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import CACHES, mapped
+
 SPACE = "▁"
 CAP, LONGEST = 1_000_000, 64
 PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -140,6 +142,9 @@ def prefix_table(model_file: str) -> PrefixTable:
     return PrefixTable(model_file)
 
 
+CACHES["piece"] = prefix_table.cache_clear
+
+
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every whole text. Null and empty texts have no ids; rows that repeat, each its own."""
 
@@ -150,7 +155,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
                 ids = [table.encode(x or "") for x in rows.column(1).to_pylist()]
                 yield pa.record_batch([rows.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return mapped(_texts(docs, id_col, text_col), run, "doc_id long, ids array<int>", "piece")
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
@@ -162,7 +167,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
             texts = [model.decode(x) if x else "" for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return mapped(encoded.select("doc_id", "ids"), run, "doc_id long, text string", "piece")
 
 
 def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,7 +185,7 @@ def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
                     decoded.append(hashlib.sha256((table.model.decode(ids) if ids else "").encode()).hexdigest())
                 yield pa.record_batch([rows.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(_texts(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "piece")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban", "secret")
 
@@ -348,7 +350,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_t
                 yield pa.record_batch(columns, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted"][: len(columns)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def redacted_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -363,4 +365,4 @@ def redacted_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 out += [None if t is None else redacted(t, spans) for t, (_, spans) in zip(texts, all_spans([t or "" for t in texts], trees), strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

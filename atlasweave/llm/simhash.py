@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import mapped, materialise, release
 
 SEED = 42
 SHINGLE = 3
@@ -102,7 +102,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a long) of every row; null and empty texts have fingerprint zero."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return mapped(rows, _fingerprints, "doc_id long, fp long")
 
 
 def _table_keys(fp: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import mapped, scratch_path
 from .encoders import encoder
 
 LENGTH, ROWS = 2048, 128
@@ -113,7 +113,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    done = ordered.mapInArrow(run, "part long, file string, n_docs long, n_tokens long").collect()
+    done = mapped(ordered, run, "part long, file string, n_docs long, n_tokens long", "encoders").collect()
     return [(r.file, r.n_docs, r.n_tokens) for r in sorted(done, key=lambda r: r.part)]
 
 
@@ -162,4 +162,4 @@ def read(spark, files: list[tuple[str, int, int]]) -> DataFrame:
     paths = spark.createDataFrame(rows, "file string, first long")
     if rows:
         paths = paths.repartitionByRange(len(rows), "first").coalesce(-(-len(rows) // FILES))
-    return paths.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(paths, run, "doc_id long, start long, n_tokens long, ids_crc32 long", "encoders")

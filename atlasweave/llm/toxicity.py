@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
+
 SAMPLE = 3000
 FOLDS, HELD_OUT = 5, 0
 WORD = re.compile(r"[^\W\d_]+")
@@ -379,7 +381,7 @@ def scored(docs: DataFrame, model: Model, spans: bool = False, id_col: str = "do
                 yield pa.record_batch(columns, ["doc_id", "score", "predicted", "spans"][: len(columns)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -396,4 +398,4 @@ def scored_with_columns(docs: DataFrame, model: Model, text_col: str = "text") -
             scores = [s for s, _ in scorer.slices(batch.column(at).to_pylist())]
             yield pa.record_batch([*batch.columns, pa.array(np.concatenate([np.zeros(0), *scores]))], [*batch.schema.names, "_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
