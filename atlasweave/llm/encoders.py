@@ -21,7 +21,7 @@ from .common import CACHES
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CAP = 400_000
+CAP = 600_000
 LONGEST = 64
 #: Texts that are encoded at once: so many, or so many characters.
 TEXTS, CHARS = 2048, 4_000_000
@@ -69,10 +69,10 @@ JOINED = 4000
 
 
 class CachedEncoder:
-    def __init__(self, path: str, chunks: str) -> None:
+    def __init__(self, path: str, chunks: str, cap: int | None = None) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cap = Tokenizer.from_file(path), cap or CAP
         (self.chunks, self.between, self.lower), self.spaced = CHUNKS[chunks], chunks == "spaced"
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2") if len(vocabulary) <= 1 << 16 else np.dtype("<u4")
@@ -153,7 +153,7 @@ class CachedEncoder:
         return [raw[a:b] if x is not None else self.whole([t])[0] for t, x, a, b in zip(texts, ready, cuts, cuts[1:])]
 
     def _ids_of(self, chunks: list[str]) -> list[bytes]:
-        if len(self.known) > CAP:
+        if len(self.known) > self.cap:
             self.old, self.known = self.known, {"": b""}
         keys = list(map(lowered, chunks)) if self.lower else chunks
         known, old = self.known, self.old
@@ -190,9 +190,9 @@ class CachedEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, chunks: str) -> CachedEncoder:
+def encoder(path: str, chunks: str, cap: int | None = None) -> CachedEncoder:
     """One for each worker process and vocabulary; workers serve many tasks."""
-    return CachedEncoder(path, chunks)
+    return CachedEncoder(path, chunks, cap)
 
 
 CACHES["encoders"] = encoder.cache_clear

@@ -27,14 +27,14 @@ MAX = 2048
 LEAST_TASKS, TASK_ROWS = 12, 250_000
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, chunks: str = "spaced", with_ids: bool = True, most: int = MAX, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, end_id: int, chunks: str = "spaced", with_ids: bool = True, most: int = MAX, remembered: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids (4 bytes each).
 
-    A null or empty text is the end id alone. Rows that repeat a doc_id are packed each for itself.
+    remembered: chunks whose ids a worker keeps (a trade of memory for time). A null or empty text is the end id alone. Rows that repeat a doc_id are packed each for itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, chunks)
+        enc = encoder(vocabulary, chunks, remembered)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             rows, held = [], 0
