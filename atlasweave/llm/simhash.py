@@ -47,16 +47,16 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shingle_hashes(raw: bytes) -> list[int]:
-    """XXH64 of each shingle of the words of a text, repeats included."""
+def shingle_hashes(raw: bytes, width: int = SHINGLE) -> list[int]:
+    """XXH64 of each shingle of width words of a text, repeats included."""
     words = raw.lower().split()  # bytes: A-Z only, and splits at \x20 and \x09 to \x0D only
-    if len(words) <= SHINGLE:
+    if len(words) <= width:
         return [xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else []
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = [0, *(ends[: -SHINGLE] + 1).tolist()]
+    starts = [0, *(ends[:-width] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)]
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
 
 
 def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -173,6 +173,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs_fp.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of docs for each root of groups (doc_id, mark, root; mark: XXH64 of the text): the smallest (doc_id, mark), a null doc_id last.
+
+    Rows of one text have one root, so a doc_id and a mark name a root; of rows that share both, any stays.
+    """
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("k"))
+    stay = first.select(F.col("k.doc_id").alias("_kept"), F.col("k.mark").alias("_kept_mark"))
+    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_mark": F.xxhash64(F.col(text_col).cast("string"))})
+    kept = rows.join(stay, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi")
+    return kept.dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: of each group the one with the smallest doc_id (one row of it, if it is repeated)."""
     stay = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
