@@ -96,13 +96,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 flush()
                 hashes, counts, held = [], [], 0
         flush()
-        yield pa.record_batch([batch.column(0), pa.array(np.concatenate(prints).view(np.int64))], ["doc_id", "fp"])
+        yield pa.record_batch([batch.column(0), pa.array(np.concatenate(prints).view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of every row; null and empty texts have fingerprint zero."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return mapped(rows, _fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint's 64 bits as a long) of every row, and mark, a hash of its text, if asked for; null and empty texts have fingerprint zero."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[F.xxhash64(text).alias("mark")] * marked)
+    return mapped(rows, _fingerprints, "doc_id long, fp long" + ", mark long" * marked)
 
 
 def _table_keys(fp: Column) -> Column:
@@ -158,6 +159,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
+def _placed(docs_fp: DataFrame) -> DataFrame:
+    """Of rows (doc_id, fp): fp, the least doc_id that has it, and root, one fingerprint for each group."""
+    prints = materialise(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(prints))
+    return prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id (its group's smallest doc_id).
 
@@ -165,9 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null doc_id is kept; it is a group's smallest only if the group has no other. No rows: no rows.
     """
     docs_fp = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    prints = materialise(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(prints))
-    placed = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = _placed(docs_fp)
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
     return docs_fp.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -186,7 +192,7 @@ def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each group the one with the smallest doc_id (one row of it, if it is repeated)."""
-    stay = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """The rows of docs that stay: exactly one of each group, one with its smallest doc_id (null only if it has no other)."""
+    docs_fp = materialise(fingerprints(docs, id_col, text_col, marked=True), "fingerprints")
+    rooted = docs_fp.join(_placed(docs_fp).select("fp", "root"), "fp").select("doc_id", "mark", "root")
+    return one_of_each(docs, rooted, id_col, text_col)

@@ -85,7 +85,7 @@ def test_near_copies_leave_the_corpus(spark):
 A, B, C, D = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
 
 
-@pytest.mark.parametrize("dedup", [jaccard.deduplicated])
+@pytest.mark.parametrize("dedup", [simhash.deduplicated, jaccard.deduplicated])
 def test_one_row_of_each_group(spark, dedup):
     """Null ids on unrelated texts, one id on several texts, an id smaller in another group, repeated rows."""
     rows = [(None, A), (None, B), (None, B), (5, C), (5, D), (5, D), (3, D), (9, A + " end" if dedup is jaccard.deduplicated else A)]
