@@ -97,7 +97,7 @@ GENERATORS = (
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![\w-])")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")),
     ("secret", re.compile(r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*[0-9])[A-Za-z0-9_/+-]{16,}={0,2}")),
-    ("secret", re.compile(r"(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s?[=:]\s?[\"']?([^\s\"',;]{6,128})", re.I)),
+    ("secret", re.compile(r"(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s?[=:]\s?[\"']?([^\s\"',;]{6,})", re.I)),
 )
 CUES = {
     "email": ("mail", "email", "e-mail", "contact", "write", "reach"),
@@ -114,8 +114,11 @@ CUE_OF = {w: i for i, k in enumerate(KINDS) for w in CUES[k]}
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    if not DIGIT.search(text) and "@" not in text and "(at)" not in text and "[at]" not in text and "{at}" not in text and "=" not in text and " dot " not in text:
-        return []
+    # No generator matches a text without a digit, one of @=: or a spelled-out at or dot, in any case.
+    if not DIGIT.search(text) and not any(c in text for c in "@=:"):
+        lower = text.lower()
+        if not any(c in lower for c in ("(at)", "[at]", "{at}", " dot ")):
+            return []
     out = []
     for kind, pattern in GENERATORS:
         for m in pattern.finditer(text):
