@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from .common import mapped
 
 SAMPLE = 3000
+#: Of the sampled rows' windows, those with a toxic tag and others that the chain learns from at most.
+HOT_WINDOWS, CLEAN_WINDOWS = 4000, 6000
 FOLDS, HELD_OUT = 5, 0
 WORD = re.compile(r"[^\W\d_]+")
 SLOTS = 1 << 18
@@ -156,8 +158,8 @@ def token_labels(docs: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]:
     return [np.array([y and any(a in marks for a in attributes(w)[:-1]) for w in words], bool) for words, y in zip(docs, toxic, strict=True)]
 
 
-def fit_chain(docs: list[list[str]], tags: list[np.ndarray], steps: int = 40) -> Model:
-    """A chain fitted by AdaGrad to windows of words: all with a toxic tag, and as many others."""
+def fit_chain(docs: list[list[str]], tags: list[np.ndarray], steps: int = 40, hot_windows: int = HOT_WINDOWS, clean_windows: int = CLEAN_WINDOWS) -> Model:
+    """A chain fitted by AdaGrad to windows of words: at most hot_windows with a toxic tag, and of the others twice as many as have one (1,000 at least, clean_windows at most); both drawn at random."""
     rng = np.random.default_rng(5)
     hot, cold = [], []
     for words, own in zip(docs, tags, strict=True):
@@ -165,7 +167,7 @@ def fit_chain(docs: list[list[str]], tags: list[np.ndarray], steps: int = 40) ->
             (hot if own[k : k + WINDOW].any() else cold).append((words[k : k + WINDOW], own[k : k + WINDOW]))
     rng.shuffle(hot)
     rng.shuffle(cold)
-    used = hot[:4000] + cold[: max(1000, min(6000, 2 * len(hot)))]
+    used = hot[:hot_windows] + cold[: max(1000, min(clean_windows, 2 * len(hot)))]
     model = Model(np.zeros(SLOTS), np.zeros((2, 2)), -4.0, np.zeros(4))
     if not hot:
         return model

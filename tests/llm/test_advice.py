@@ -1,8 +1,11 @@
 """Gates, bounds and cuts that the review of the first round names."""
 
+import inspect
+
+import numpy as np
 import pytest
 
-from atlasweave.llm import pii
+from atlasweave.llm import pii, toxicity
 
 
 @pytest.mark.parametrize("span, text", [
@@ -19,3 +22,11 @@ def test_pii_redacts_whole_secrets():
     trees = pii.model()
     for text in ("password: correcthorse", "passwd: " + "q7Zp" * 60):
         assert pii.redacted(text, pii.all_spans([text], trees)[0][1]) == text.split()[0] + " [SECRET]"
+
+
+def test_toxicity_windows_are_bounded_by_named_parameters():
+    bounds = inspect.signature(toxicity.fit_chain).parameters
+    assert bounds["hot_windows"].default == toxicity.HOT_WINDOWS and bounds["clean_windows"].default == toxicity.CLEAN_WINDOWS
+    docs = [["vile"]] * 3 + [["fine"]] * 3
+    tags = [np.array([k < 3]) for k in range(6)]
+    assert toxicity.fit_chain(docs, tags, 2).weights.any() and (toxicity.fit_chain(docs, tags, 2, hot_windows=0).weights <= 0).all()
