@@ -1,11 +1,13 @@
 """Gates, bounds and cuts that the review of the first round names."""
 
 import inspect
+from datetime import datetime
 
 import numpy as np
 import pytest
 
 from atlasweave.llm import pii, toxicity
+from atlasweave.plans import queries
 
 
 @pytest.mark.parametrize("span, text", [
@@ -30,3 +32,10 @@ def test_toxicity_windows_are_bounded_by_named_parameters():
     docs = [["vile"]] * 3 + [["fine"]] * 3
     tags = [np.array([k < 3]) for k in range(6)]
     assert toxicity.fit_chain(docs, tags, 2).weights.any() and (toxicity.fit_chain(docs, tags, 2, hot_windows=0).weights <= 0).all()
+
+
+def test_opening_hours_of_large_user_ids(spark, tmp_path):
+    """The SQL leaves ids from 100,000 out; the query may not."""
+    rows = [(u, datetime(2024, 1, d)) for u in (1, 100_000, 250_000) for d in range(1, 8)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.user_id: r.hours for r in queries.queries()["opening_hours"](spark, str(tmp_path)).collect()} == dict.fromkeys((1, 100_000, 250_000), "Mon-Sun 10:00-19:00")
