@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from atlasweave.llm import pii, toxicity
+from atlasweave.operators import aggregates
 from atlasweave.plans import queries
 
 
@@ -39,3 +40,9 @@ def test_opening_hours_of_large_user_ids(spark, tmp_path):
     rows = [(u, datetime(2024, 1, d)) for u in (1, 100_000, 250_000) for d in range(1, 8)]
     spark.createDataFrame(rows, "user_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
     assert {r.user_id: r.hours for r in queries.queries()["opening_hours"](spark, str(tmp_path)).collect()} == dict.fromkeys((1, 100_000, 250_000), "Mon-Sun 10:00-19:00")
+
+
+def test_united_notes_are_whole_up_to_the_cut(spark):
+    rows = spark.createDataFrame([(1, ["x"], n * 30) for n in "abc"] + [(2, ["x"], n * 300) for n in "abcd"], "k long, kinds array<string>, notes string")
+    notes = {r.k: r.notes for r in aggregates.united(rows, "k", ["kinds"], "notes").collect()}
+    assert notes == {1: " | ".join(n * 30 for n in "abc"), 2: " | ".join(n * 300 for n in "abcd")[:800]}
