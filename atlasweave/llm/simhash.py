@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, materialise, release
+from .common import fresh, mapped, materialise, release
 
 SEED = 42
 SHINGLE = 3
@@ -182,13 +182,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exactly one row of docs for each root of groups (doc_id, mark, root; mark: XXH64 of the text): the smallest (doc_id, mark), a null doc_id last.
 
-    Rows of one text have one root, so a doc_id and a mark name a root; of rows that share both, any stays.
+    Rows of one text have one root, so a doc_id and a mark name a root; of rows that share both, any stays. Columns of
+    docs come back as they are, whatever their names.
     """
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("k"))
-    stay = first.select(F.col("k.doc_id").alias("_kept"), F.col("k.mark").alias("_kept_mark"))
-    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_mark": F.xxhash64(F.col(text_col).cast("string"))})
-    kept = rows.join(stay, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi")
-    return kept.dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+    own_id, own_mark, kept_id, kept_mark = fresh(docs, "_id", "_mark", "_kept", "_kept_mark")
+    stay = first.select(F.col("k.doc_id").alias(kept_id), F.col("k.mark").alias(kept_mark))
+    rows = docs.withColumns({own_id: F.col(id_col).cast("long"), own_mark: F.xxhash64(F.col(text_col).cast("string"))})
+    kept = rows.join(stay, F.col(own_id).eqNullSafe(F.col(kept_id)) & (F.col(own_mark) == F.col(kept_mark)), "left_semi")
+    return kept.dropDuplicates([own_id, own_mark]).select(*docs.columns)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
