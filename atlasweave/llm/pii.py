@@ -18,6 +18,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -298,13 +299,56 @@ def model(precision: float = 0.99) -> Trees:
 # --- the operator --------------------------------------------------------------------------------------------------
 
 
+def merged(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs that overlapping spans (start, end) make, in order."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def meets(starts: list[int], ends: list[int], a: int, b: int) -> bool:
+    """Whether a to b overlaps one of disjoint runs in order."""
+    k = bisect_left(starts, b)
+    return k > 0 and ends[k - 1] > a
+
+
+def apart(found: list[tuple[float, str, int, int]]) -> list[tuple[str, int, int]]:
+    """Of candidates (-score, kind, start, end) those that stay, best first, longer before shorter: none overlaps a better one that stays.
+
+    Candidates are taken run by run (only those of one run can overlap), and compared with the neighbours of their place alone.
+    """
+    out = []
+    by_start = sorted(found, key=lambda c: (c[2], c[3]))
+    first, end = 0, -1
+    for k in range(len(by_start) + 1):
+        if k < len(by_start) and (k == first or by_start[k][2] < end):
+            end = max(end, by_start[k][3])
+            continue
+        starts: list[int] = []
+        ends: list[int] = []
+        for _, kind, a, b in sorted(by_start[first:k], key=lambda c: (c[0], c[2] - c[3], c[2], c[1])):
+            if not meets(starts, ends, a, b):
+                at = bisect_left(starts, a)
+                starts.insert(at, a)
+                ends.insert(at, b)
+                out.append((kind, a, b))
+        if k < len(by_start):
+            first, end = k, by_start[k][3]
+    return out
+
+
 def all_spans(texts: list[str], trees: Trees) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """(base spans, all spans) of each text."""
     base = [base_spans(t) for t in texts]
     found = [(i, *c) for i, t in enumerate(texts) for c in candidates(t)]
     # What a base span covers is settled; only the rest is scored.
-    taken = [sorted((a, b) for _, a, b in s) for s in base]
-    found = [c for c in found if not any(a < c[3] and c[2] < b for a, b in taken[c[0]])]
+    taken = [merged((a, b) for _, a, b in s) for s in base]
+    found = [c for c in found if not meets(*taken[c[0]], c[2], c[3])]
     more: list[list[tuple[float, str, int, int]]] = [[] for _ in texts]
     if found:
         x = np.array([features(texts[i], k, a, b) for i, k, a, b in found])
@@ -314,11 +358,7 @@ def all_spans(texts: list[str], trees: Trees) -> list[tuple[list[tuple[str, int,
                 more[i].append((-q, k, a, b))
     out = []
     for own, extra in zip(base, more, strict=True):
-        kept: list[tuple[str, int, int]] = []
-        for _, k, a, b in sorted(extra, key=lambda c: (c[0], c[2] - c[3], c[2], c[1])):
-            if not any(x < b and a < y for _, x, y in kept):
-                kept.append((k, a, b))
-        out.append((own, sorted([*own, *kept], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
+        out.append((own, sorted([*own, *apart(extra)], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return out
 
 
@@ -335,7 +375,9 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and, if asked for, redacted, of every row.
 
-    Null and empty texts have no spans (redacted: null stays null). Rows that repeat are each searched.
+    Null and empty texts have no spans (redacted: null stays null). Rows that repeat, and rows of a null or repeated
+    doc_id, are each searched; other columns are left out. No rows give none. Time grows with a text's length and, but for
+    a logarithm, with its spans.
     """
     trees = model()
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", redacted string" * with_text
