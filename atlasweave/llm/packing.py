@@ -93,23 +93,27 @@ def plan(histogram: dict[int, int], most: int = MAX) -> list[tuple[int, int, int
     return out
 
 
+#: Sides of the die that every piece throws when it is written: it deals pieces that are alike in all else to different tasks.
+SIDES = 1 << 30
+
+
 def ranked(found: DataFrame, buckets: int) -> DataFrame:
-    """found with rank, from 0, among the rows of its length.
+    """found (with dice) with rank, from 0, among the rows of its length.
 
-    Rows are dealt to buckets by hash; counts of each bucket and length give where a bucket's ranks begin, so that a
-    length that a third of the pieces have is counted in all tasks.
+    Rows are dealt to buckets by their dice; counts of each bucket and length give where a bucket's ranks begin, so that a
+    length, a doc_id or a text that a third of the pieces have is counted in all tasks.
     """
-    dealt = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
+    dealt = found.withColumn("bucket", F.pmod("dice", F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "bucket").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("begin"))
-    inside = Window.partitionBy("bucket", "length").orderBy("doc_id", "start", "ids_crc32")
+    inside = Window.partitionBy("bucket", "length").orderBy("doc_id", "start", "dice")
     own = dealt.withColumn("place", F.row_number().over(inside) - 1)
-    return own.join(begins, ["bucket", "length"]).withColumn("rank", F.col("begin") + F.col("place")).drop("bucket", "begin", "place")
+    return own.join(begins, ["bucket", "length"]).withColumn("rank", F.col("begin") + F.col("place")).drop("bucket", "begin", "place", "dice")
 
 
 def assign(found: DataFrame, most: int = MAX) -> DataFrame:
-    """The pieces (a table that was written, with length from 1 to most), with sequence_id and offset."""
+    """The pieces (a table that was written, with length from 1 to most, and dice), with sequence_id and offset, without dice."""
     spark = found.sparkSession
     histogram = {r.length: r["count"] for r in found.groupBy("length").count().collect()}  # at most `most` rows
     placed = np.array(sorted(plan(histogram, most)), np.int64).reshape(-1, 5)
@@ -124,16 +128,23 @@ def assign(found: DataFrame, most: int = MAX) -> DataFrame:
             arrays = [*(batch.column(i) for i in keep), pa.array(at[:, 3] + rank - at[:, 1]), pa.array(at[:, 4])]
             yield pa.record_batch(arrays, [*(batch.schema.names[i] for i in keep), "sequence_id", "offset"])
 
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_rows = sum(histogram.values())
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), n_rows // TASK_ROWS)
     with_rank = ranked(found, buckets)
     schema = ", ".join(f"{n} {t}" for n, t in with_rank.dtypes if n != "rank") + ", sequence_id long, offset long"
     # Rows are short: so many fill a task, and the result isn't left in files of a few rows.
-    return mapped(with_rank.coalesce(max(LEAST_TASKS, sum(histogram.values()) // TASK_ROWS)), run, schema, "encoders")
+    return mapped(with_rank.coalesce(max(LEAST_TASKS, n_rows // TASK_ROWS)), run, schema, "encoders")
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, with_ids: bool = False, **options) -> DataFrame:
-    """Pieces of all rows of docs with the sequence and offset that each has; no rows give no pieces."""
-    return assign(materialise(pieces(docs, vocabulary, end_id, with_ids=with_ids, **options), "pieces"))
+    """Pieces of all rows of docs with the sequence and offset that each has.
+
+    Null and empty texts are the end id alone. Rows that repeat, and rows of a null or repeated doc_id, are packed each
+    for itself (which pieces are of one row then shows only in their numbers). Columns of docs but doc_id are left out. No
+    rows give no pieces.
+    """
+    thrown = pieces(docs, vocabulary, end_id, with_ids=with_ids, **options).withColumn("dice", F.floor(F.rand(5) * F.lit(SIDES)).cast("int"))
+    return assign(materialise(thrown, "pieces"))
 
 
 def sequences(packed: DataFrame, pad_id: int = 0, most: int = MAX) -> DataFrame:
