@@ -4,11 +4,12 @@ The documents' ids, in ascending doc_id order, form one stream. It is cut by ran
 Arrow IPC stream whose record batches all hold ``ROWS`` sequences (the last fewer) in two fixed-size-list columns:
 ``input_ids`` (16 bits an id where the vocabulary fits, else 32) and ``attention_mask`` (false at padding, which only
 the last sequence has). As every batch but the last has the same shape, id t of a file is in batch t // (ROWS * LENGTH),
-at a known place of one contiguous buffer, so a mapped file gives any sequence or document without copying. Beside it,
-``*.index.arrow`` has doc_id, start and n_tokens of each document, counted in the file.
+which begins at a known byte: any sequence or document is read without what stands before it, and without copying where
+the file can be mapped. Beside it, ``*.index.arrow`` has doc_id, start and n_tokens of each document, counted in the file.
 
 Files are written under a name of the attempt and then renamed, so a task that is run again, or twice, leaves one whole
-file. Only a row for each file (its path and totals) reaches the driver; the number of files is that of range partitions.
+file. Files are ranges of (doc_id, hash of the text, a random number), so that a doc_id or a row that a third of all rows
+share is many files. Only a row for each file (its path and totals) reaches the driver; the number of files is that of range partitions.
 """
 
 from __future__ import annotations
@@ -86,8 +87,9 @@ class _Writer:
 def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, chunks: str = "words", id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
     """Encodes every text and writes the files; gives (file, documents, ids) in doc_id order, a row for each file.
 
-    Null and empty texts are one end id. Null doc_ids come first. Rows that repeat a doc_id are ordered by text.
-    Without rows there are no files.
+    Null and empty texts are one end id. Null doc_ids come first. Rows that share a doc_id are ordered by a hash of their
+    text, and may be parted between files; rows alike in both are interchangeable. Other columns are left out. Without
+    rows there are no files.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
@@ -112,20 +114,36 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
             yield pa.record_batch([pa.array([part]), pa.array([f"{folder}/part-{part:06d}"]), pa.array([writer.n_docs]), pa.array([writer.n_tokens])], ["part", "file", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The number is drawn anew, and the same, wherever a task is run again: its seed is of the partition that is read.
+    order = ("doc_id", "mark", "dice")
+    ordered = rows.withColumns({"mark": F.xxhash64("text"), "dice": F.rand(3)}).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     done = mapped(ordered, run, "part long, file string, n_docs long, n_tokens long", "encoders").collect()
     return [(r.file, r.n_docs, r.n_tokens) for r in sorted(done, key=lambda r: r.part)]
 
 
 class TokenFile:
-    """Random access to one file; a local file is mapped and its ids are views of it."""
+    """Random access to one file, a batch at a time; a local file is mapped and its ids are views of it."""
 
     def __init__(self, file: str) -> None:
         fs, path = pafs.FileSystem.from_uri(file)
         opened = [pa.memory_map(p) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(p) for p in (f"{path}.arrow", f"{path}.index.arrow")]
-        self.ids = [b.column(0).flatten().to_numpy(zero_copy_only=True) for b in pa.ipc.open_stream(opened[0])]
+        self.source = opened[0]
+        self.schema = pa.ipc.read_schema(pa.ipc.read_message(self.source))
+        self.first, self.step, self.held = self.source.tell(), None, (-1, np.zeros(0))
         self.batches = pa.ipc.open_stream(opened[1])
 
+    def ids(self, batch: int) -> np.ndarray:
+        """The ids of a batch, padding included. All batches before the last are as long as the first."""
+        if self.held[0] != batch:
+            if batch and self.step is None:
+                self.source.seek(self.first)
+                pa.ipc.read_message(self.source)
+                self.step = self.source.tell() - self.first
+            self.source.seek(self.first + batch * (self.step or 0))
+            read = pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+            self.held = batch, read.column(0).flatten().to_numpy(zero_copy_only=True)
+        return self.held[1]
+
     def index(self) -> Iterator[pa.RecordBatch]:
         yield from self.batches
 
@@ -133,7 +151,7 @@ class TokenFile:
         """The n ids from start on, as views."""
         full = ROWS * LENGTH
         while n > 0:
-            view = self.ids[start // full][start % full : start % full + n]
+            view = self.ids(start // full)[start % full : start % full + n]
             yield view
             start, n = start + len(view), n - len(view)
 

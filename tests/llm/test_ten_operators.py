@@ -149,7 +149,7 @@ def test_token_files_hold_equal_sequences(spark, docs):
     mask = whole["attention_mask"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     assert mask[:n].all() and not mask[n:].any()
     own = tokenfiles.TokenFile(file)
-    assert not own.ids[0].flags.owndata and n_docs > 0
+    assert not own.ids(0).flags.owndata and n_docs > 0
     assert tokenfiles.read(spark, tokenfiles.write(empty(docs), vocabulary("word_bpe_49k.json"), 1)).count() == 0
 
 
