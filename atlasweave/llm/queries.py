@@ -52,8 +52,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    scored = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), spans=True)
+    offending = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", offending.alias("offending"))
 
 
 def op9_piece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Training takes a bounded sample of labelled rows (``SAMPLE`` of each class, the same for any size of input). Labels are of
+Training takes a bounded sample of labelled rows (``SAMPLE`` of each class and ``BYTES`` of text together, the same for any
+size of input). Its three chains are fitted by three tasks, none on the driver. Labels are of
 documents, so tokens are labelled first: in a toxic document, words and word beginnings that many toxic and hardly any
 clean documents have. A two-tag chain is fitted to those token labels; weights are of the
 word, its first four to seven letters and its last three. Document scores are fitted to what forward-backward marginals
@@ -16,20 +17,22 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import mapped
+from .common import mapped, materialise
 
 SAMPLE = 3000
+#: Bytes of text that the sample of either class holds at most. Rows come in their order by hash until the next doesn't fit;
+#: a text that is longer than all of it is never learnt from (it is scored whole, like any other).
+BYTES = 32 << 20
 #: Of the sampled rows' windows, those with a toxic tag and others that the chain learns from at most.
 HOT_WINDOWS, CLEAN_WINDOWS = 4000, 6000
 FOLDS, HELD_OUT = 5, 0
@@ -255,31 +258,45 @@ def without_copies(docs: list[list[str]]) -> list[int]:
     return out
 
 
-def train(texts: list[str | None], toxic: np.ndarray) -> Model:
-    """The chain is of all rows; document scores are fitted to what chains of either half say of the other.
-
-    Needs both classes; else scores are constant.
-    """
+def prepared(texts: list[str | None], toxic: np.ndarray) -> tuple[list[list[str]], np.ndarray]:
+    """Words and labels of the texts that aren't copies of earlier ones."""
     one: dict[str, str] = {}
     docs = [[one.setdefault(w, w) for w in words_of(t)] for t in texts]  # a word is held once
-    del one
     own = without_copies(docs)
-    docs, toxic = [docs[i] for i in own], toxic[own]
-    if not toxic.any() or toxic.all():
-        return Model(np.zeros(SLOTS), np.zeros((2, 2)), -4.0, np.array([6.0 if len(toxic) and toxic.all() else -6.0, 0, 0, 0]))
+    return [docs[i] for i in own], toxic[own]
+
 
-    def chain(at: np.ndarray) -> Model:
-        own = [docs[i] for i in at]
-        return fit_chain(own, token_labels(own, toxic[at]))
+PARTS = (0, 1, 2)
 
+
+def fit_part(docs: list[list[str]], toxic: np.ndarray, part: int) -> tuple[Model, np.ndarray, np.ndarray]:
+    """A chain and, of parts 0 and 1, what it says of the documents that it hasn't seen: that half of them, and their labels. Part 2 is the chain of all."""
     half = np.arange(len(docs)) % 2
-    seen, y = [], []
-    for k in (0, 1):
-        at, rest = np.flatnonzero(half == k), np.flatnonzero(half != k)
-        seen.append(_features(chain(at), [docs[i] for i in rest]))
-        y.append(toxic[rest])
-    model = chain(np.arange(len(docs)))
-    model.final = fit_logistic(np.concatenate(seen), np.concatenate(y).astype(float))
+    at = np.arange(len(docs)) if part == 2 else np.flatnonzero(half == part)
+    own = [docs[i] for i in at]
+    model = fit_chain(own, token_labels(own, toxic[at]))
+    if part == 2:
+        return model, np.zeros((0, 4)), np.zeros(0)
+    rest = np.flatnonzero(half != part)
+    return model, _features(model, [docs[i] for i in rest]), toxic[rest].astype(float)
+
+
+def constant(toxic: np.ndarray) -> Model:
+    """Of labels of one class, or none."""
+    return Model(np.zeros(SLOTS), np.zeros((2, 2)), -4.0, np.array([6.0 if len(toxic) and toxic.all() else -6.0, 0, 0, 0]))
+
+
+def train(texts: list[str | None], toxic: np.ndarray) -> Model:
+    """The chain is of all rows; document scores are fitted to what chains of either half say of the other.
+
+    Needs both classes; else scores are constant.
+    """
+    docs, toxic = prepared(texts, toxic)
+    if not toxic.any() or toxic.all():
+        return constant(toxic)
+    parts = [fit_part(docs, toxic, k) for k in PARTS]
+    model = parts[2][0]
+    model.final = fit_logistic(np.concatenate([x for _, x, _ in parts]), np.concatenate([y for *_, y in parts]))
     return model
 
 
@@ -290,14 +307,25 @@ def _features(model: Model, docs: list[list[str]]) -> np.ndarray:
     return document_features(marginals(scores, counts, model.chain), counts)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str | None], np.ndarray]:
-    """At most ``sample`` rows of each class, by a hash of doc_id, of the labelled rows that aren't held out."""
-    own = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
-    own = own.where(~held_out(F.col("_id"))).withColumn("_h", F.xxhash64("_id", F.lit(8)))
-    chosen = own.where("_y = 1").orderBy("_h", "_id").limit(sample).union(own.where("_y = 0").orderBy("_h", "_id").limit(sample))
-    found = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    rows = found.select("_h", "_id", "_text", "_y").orderBy("_h", "_id", "_text").limit(2 * sample).collect()
-    return [r["_text"] for r in rows], np.array([r["_y"] == 1 for r in rows], bool)
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """h, mark, text and y (1: toxic) of at most ``sample`` rows and ``most_bytes`` of text of each class, by a hash of doc_id, of the labelled rows that aren't held out.
+
+    Labels other than 0 and 1, and of null ids, don't count. Rows alike in doc_id and text are one. No column but the id and
+    the text is read.
+    """
+    own = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    own = own.where(~held_out(F.col("id"))).withColumn("h", F.xxhash64("id", F.lit(8))).distinct()
+    first = Window.partitionBy("y").orderBy("h", "id")
+    chosen = own.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample).drop("place")  # limited before the shuffle
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    found = texts.join(F.broadcast(chosen), F.col("doc") == F.col("id"))  # 2 * sample rows at most are broadcast
+    # Sizes alone are ranked; of rows that share doc_id and text one is left before the shuffle.
+    sizes = found.groupBy("h", "id", "mark", "y").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    order = Window.partitionBy("y").orderBy("h", "id", "mark")
+    ranked = sizes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    fit = ranked.withColumn("sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= most_bytes)
+    fit = materialise(fit.select("h", F.col("id").alias("own_id"), F.col("mark").alias("own_mark"), "y").coalesce(1), "training")
+    return texts.join(F.broadcast(fit), (F.col("doc") == F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).select("h", "mark", "text", "y").distinct()
 
 
 def held_out(doc_id):
@@ -339,35 +367,46 @@ class Scorer:
 
     def slices(self, texts: list[str | None], spans: bool = False, most: int = 150_000) -> Iterator[tuple[np.ndarray, list | None]]:
         """(document scores, offending (start, end) places of each, if asked for)."""
-        held, counts, places = [], [], []
+        held, counts, own = [], [], []
         for text in texts:
-            low = (text or "").lower()
-            words = WORD.findall(low)
+            words = WORD.findall((text or "").lower())
             if spans:
-                # Lower-casing may lengthen a text; places are then those of the lower-cased one only where sizes agree.
-                places.append([m.span() for m in WORD.finditer(low)] if len(low) == len(text or "") else [m.span() for m in WORD.finditer(text)])
+                own.append(text or "")
             held.append(self._scores(words))
             counts.append(len(words))
             if len(counts) % 16 == 0 and sum(counts) >= most:
-                yield self._done(held, counts, places if spans else None)
-                held, counts, places = [], [], []
+                yield self._done(held, counts, own if spans else None)
+                held, counts, own = [], [], []
         if counts:
-            yield self._done(held, counts, places if spans else None)
+            yield self._done(held, counts, own if spans else None)
 
-    def _done(self, held: list, counts: list[int], places: list | None) -> tuple[np.ndarray, list | None]:
+    def _done(self, held: list, counts: list[int], texts: list[str] | None) -> tuple[np.ndarray, list | None]:
         n = np.array(counts, np.int64)
         p = marginals(np.fromiter((x for h in held for x in h), float, int(n.sum())), n, self.model.chain)
         score = 1 / (1 + np.exp(-np.clip(document_features(p, n) @ self.model.final, -30, 30)))
-        if places is None:
+        if texts is None:
             return score, None
         at = np.cumsum(n) - n
-        return score, [[own[k] for k in np.flatnonzero(p[a : a + c] >= 0.5) if k < len(own)] for own, a, c in zip(places, at, n, strict=True)]
+        hot = [np.flatnonzero(p[a : a + c] >= 0.5) for a, c in zip(at, n, strict=True)]
+        return score, [places(text, k) if len(k) else [] for text, k in zip(texts, hot, strict=True)]
+
+
+def places(text: str, hot: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) in text of the words of these numbers, in characters. Words are of the lower-cased text, which may be longer than the text."""
+    low = text.lower()
+    found = [m.span() for m in WORD.finditer(low)]
+    own = [found[k] for k in hot.tolist()]
+    if len(low) == len(text):
+        return own
+    ends = np.cumsum([len(c.lower()) for c in text])
+    return [(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b - 1, "right")) + 1) for a, b in own]
 
 
 def scored(docs: DataFrame, model: Model, spans: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and predicted of every row, and spans (start, end of toxic words, in characters) if asked for.
 
-    Null and empty texts have the score of a document without words. Rows that repeat are each scored.
+    Null and empty texts have the score of a document without words. Rows that repeat, and rows of a null or repeated
+    doc_id, are each scored; other columns are left out. No rows give none.
     """
     schema = "doc_id long, score double, predicted int" + ", spans array<struct<start:int,end:int>>" * spans
 
@@ -386,18 +425,49 @@ def scored(docs: DataFrame, model: Model, spans: bool = False, id_col: str = "do
     return mapped(rows, run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    return train(*training_rows(docs, labels, sample))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = BYTES) -> Model:
+    """A model of docs' labelled rows. Three tasks read the sample, fit a chain each and give it back (the weights that aren't zero, at most SLOTS); the driver fits four weights to what they say."""
+    rows = training_rows(docs, labels, sample, most_bytes)
+
+    def fitted(part: int, held: list[tuple]) -> pa.RecordBatch:
+        held.sort(key=lambda r: (r[0], r[1], r[3]))
+        docs, toxic = prepared([r[2] for r in held], np.array([r[3] == 1 for r in held], bool))
+        if toxic.any() and not toxic.all():
+            model, seen, y = fit_part(docs, toxic, part)
+            at = np.flatnonzero(model.weights)
+            values = [part, at.tobytes(), model.weights[at].tobytes(), model.chain.tobytes(), model.bias, seen.tobytes(), y.tobytes()]
+        else:
+            values = [part, b"", b"", b"", float(len(toxic) > 0 and toxic.all()), b"", b""]
+        return pa.record_batch([pa.array([v]) for v in values], ["part", "at", "weights", "chain", "bias", "seen", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = defaultdict(list)
+        for batch in batches:
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held[part].append(row)
+        for part in sorted(held):
+            yield fitted(part, held.pop(part))
+
+    thrice = rows.select(F.explode(F.array(*map(F.lit, PARTS))).alias("part"), "h", "mark", "text", "y").repartitionById(len(PARTS), "part")
+    schema = "part long, at binary, weights binary, chain binary, bias double, seen binary, y binary"
+    found = {r.part: r for r in mapped(thrice, run, schema).collect()}  # three rows
+    if len(found) < len(PARTS) or not found[2].chain:
+        return constant(np.array([2 in found and found[2].bias == 1.0]))
+    whole = found[2]
+    model = Model(np.zeros(SLOTS), np.frombuffer(whole.chain).reshape(2, 2), whole.bias, np.zeros(4))
+    model.weights[np.frombuffer(whole.at, np.int64)] = np.frombuffer(whole.weights)
+    model.final = fit_logistic(np.concatenate([np.frombuffer(found[k].seen).reshape(-1, 4) for k in (0, 1)]), np.concatenate([np.frombuffer(found[k].y) for k in (0, 1)]))
+    return model
 
 
-def scored_with_columns(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with _score, in one pass and with all columns as they are."""
+def kept_rows(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score less than threshold, in one pass and with all columns as they are, whatever their names."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            scores = [s for s, _ in scorer.slices(batch.column(at).to_pylist())]
-            yield pa.record_batch([*batch.columns, pa.array(np.concatenate([np.zeros(0), *scores]))], [*batch.schema.names, "_score"])
+            scores = [s for s, _ in scorer.slices(batch.column(at).cast(pa.string()).to_pylist())]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *scores]) < threshold))
 
-    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return mapped(docs, run, docs.schema)
