@@ -2,27 +2,32 @@
 
 Rows with one vector are one node, which keeps the smallest ``k + 1`` of their ids: no more can be among a query's k
 nearest, as ties go to smaller ids, so a vector that a third of the rows share neither breaks the graph nor costs
-accuracy. Nodes are dealt to shards of about ``SHARD`` by hash. A shard's graph is stored as a row of flat arrays:
-vectors, ids, and for each layer its nodes and their neighbours (fixed width, -1 where there is none).
+accuracy. Nodes are dealt to shards by a hash of the vector. A shard's graph is stored as a row of flat arrays: vectors,
+ids, and for each layer its nodes and their neighbours (fixed width, -1 where there is none).
 
 Graphs are built and searched in numpy for many points at once: points enter in growing batches, each batch looks for
 its neighbours in the graph so far and in itself, keeps those that are nearer to the point than to each other, and is
-linked back. Queries visit every shard in blocks of ``BLOCK`` vectors, so a task holds one shard and one block.
+linked back. Graphs hold 32-bit copies of vectors (scaled by a power of two where they are very large or small); what they
+find is measured on the original vectors in double precision.
+
+Every query meets every shard. A graph is shuffled once, to the task that holds its shard; blocks of ``BLOCK`` queries
+then stream past it, so a task holds one graph and one block. A shard holds about ``GROWTH`` times the square root of the
+number of nodes (``LEAST`` to ``MOST``), so that queries times shards grow as the power 1.5 of the rows until ``MOST``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import mapped, materialise
 
-SHARD, BLOCK = 12_000, 2048
+LEAST, MOST, GROWTH, BLOCK = 12_000, 100_000, 50, 2048
 WIDTH, EF_BUILD, EF_SEARCH = 16, 64, 96
 #: Candidates that a beam opens at once.
 OPEN = 4
@@ -186,112 +191,156 @@ def build(vectors: np.ndarray, seed: int = 1) -> Graph:
 
 # --- the operator --------------------------------------------------------------------------------------------------
 
-STORED = "dim int, shard int, n int, members binary, vectors binary, layers array<struct<nodes:binary,neighbours:binary>>"
+GRAPH = "n int, scale double, members binary, vectors binary, layers array<struct<nodes:binary,neighbours:binary>>"
+STORED = f"dim int, shard int, {GRAPH}"
+#: Cells of the table of seen nodes that a search holds.
+SEEN = 25_000_000
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id and v of rows whose vector is not null, not zero and finite in all components."""
-    v = F.col(vec_col).cast("array<float>")
+    """vec_id and v of rows whose vector is not null, not zero and finite in all components; components are floats if they come so, else doubles."""
+    kind = "array<float>" if dict(rows.dtypes)[vec_col] == "array<float>" else "array<double>"
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    own = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
+    own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("v")).where("vec_id is not null and v is not null")
     return own.where(finite & F.exists("v", lambda x: x != 0))
 
 
-def index(rows: DataFrame, k: int) -> DataFrame:
-    """STORED rows, one for each shard, of usable() rows: every distinct vector is a node of one of them."""
-    first = Window.partitionBy("v").orderBy("vec_id")
+def _dtype(rows: DataFrame) -> type:
+    return np.float32 if dict(rows.dtypes)["v"] == "array<float>" else np.float64
+
+
+def shard_size(nodes: Column) -> Column:
+    return F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.sqrt(nodes) * GROWTH))
+
+
+def scale_of(vectors: np.ndarray) -> float:
+    """A power of two that brings very large or small components near one; else one."""
+    most = float(np.abs(vectors).max(initial=0))
+    return 1.0 if 1e-6 <= most <= 1e6 or not most else 2.0 ** -int(np.clip(np.log2(most), -1000, 1000))
+
+
+def scaled(vectors: np.ndarray, scale: float) -> np.ndarray:
+    return np.ascontiguousarray(np.clip(vectors * scale, -1e15, 1e15) if scale != 1 else vectors, np.float32)
+
+
+def index(rows: DataFrame, k: int, shard: int | None = None) -> DataFrame:
+    """STORED rows, one for each shard, of usable() rows: every distinct vector is a node of one of them. shard: nodes of one, about; None: by their number."""
+    first, dtype = Window.partitionBy("v").orderBy("vec_id"), _dtype(rows)
     members = rows.withColumn("_n", F.dense_rank().over(first)).where(F.col("_n") <= k + 1)  # limited before the shuffle
     nodes = members.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
-    nodes = materialise(nodes.select("v", "ids", F.size("v").alias("dim")), "nodes")
-    shards = {r.dim: max(1, round(r["count"] / SHARD)) for r in nodes.groupBy("dim").count().collect()}  # a row for each length of vector
-    shard = F.lit(0)
-    for dim, n in shards.items():
-        shard = F.when(F.col("dim") == dim, F.pmod(F.xxhash64(F.col("ids")[0], F.lit(4)), F.lit(n)).cast("int")).otherwise(shard)
+    nodes = materialise(nodes.select("v", "ids", F.size("v").alias("dim"), F.xxhash64("v", F.lit(4)).alias("key")), "nodes")
+    size = shard_size(F.col("count")) if shard is None else F.lit(shard)
+    shards = nodes.groupBy("dim").count().select("dim", F.greatest(F.lit(1), F.round(F.col("count") / size)).cast("long").alias("shards"))
 
     def run(key: tuple, own: pa.Table) -> pa.Table:
         dim, number = (x.as_py() for x in key)
-        vectors = own["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
-        order = np.argsort(pd.util.hash_array(np.array([x[0].as_py() for x in own["ids"]], np.int64)), kind="stable")
-        ids = np.full((len(order), k + 1), -1, np.int64)
+        order = np.argsort(own["key"].to_numpy(), kind="stable")
+        vectors = own["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(dtype)[order]
+        ids = np.zeros((len(order), k + 2), np.int64)  # how many, and they
         for i, j in enumerate(order.tolist()):
             one = own["ids"][j].as_py()
-            ids[i, : len(one)] = one
-        graph = build(np.ascontiguousarray(vectors[order]))
-        layers = [{"nodes": a.astype(np.int32).tobytes(), "neighbours": b.astype(np.int32).tobytes()} for a, b in graph.layers]
+            ids[i, 0], ids[i, 1 : len(one) + 1] = len(one), one
+        scale = scale_of(vectors)
+        layers = [{"nodes": a.astype(np.int32).tobytes(), "neighbours": b.astype(np.int32).tobytes()} for a, b in build(scaled(vectors, scale)).layers]
         return pa.table({
-            "dim": pa.array([dim], pa.int32()), "shard": pa.array([number], pa.int32()), "n": pa.array([len(order)], pa.int32()), "members": pa.array([ids.tobytes()]), "vectors": pa.array([graph.vectors.tobytes()]),
-            "layers": pa.array([layers], pa.list_(pa.struct([("nodes", pa.binary()), ("neighbours", pa.binary())]))),
+            "dim": pa.array([dim], pa.int32()), "shard": pa.array([number], pa.int32()), "n": pa.array([len(order)], pa.int32()), "scale": pa.array([scale]), "members": pa.array([ids.tobytes()]),
+            "vectors": pa.array([vectors.tobytes()]), "layers": pa.array([layers], pa.list_(pa.struct([("nodes", pa.binary()), ("neighbours", pa.binary())]))),
         })
 
-    return nodes.withColumn("shard", shard).groupBy("dim", "shard").applyInArrow(run, STORED)
+    dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod("key", "shards").cast("int")).drop("shards")
+    return dealt.groupBy("dim", "shard").applyInArrow(run, STORED)
 
 
-def loaded(row: dict) -> tuple[Graph, np.ndarray]:
-    """The graph and ids of a stored row; arrays are views of its bytes."""
-    vectors = np.frombuffer(row["vectors"], np.float32).reshape(row["n"], row["dim"])
-    layers = []
-    for i, layer in enumerate(row["layers"]):
-        nodes = np.frombuffer(layer["nodes"], np.int32)
-        layers.append((nodes, np.frombuffer(layer["neighbours"], np.int32).reshape(len(nodes), 2 * WIDTH if i == 0 else WIDTH)))
-    return Graph(vectors, layers), np.frombuffer(row["members"], np.int64).reshape(row["n"], -1)
+@dataclass
+class Shard:
+    """A stored graph; vectors (as they came) and ids are views of its bytes."""
+
+    graph: Graph
+    vectors: np.ndarray
+    held: np.ndarray
+    ids: np.ndarray
+    scale: float
+
+    @classmethod
+    def of(cls, row: dict, dtype: type) -> Shard:
+        vectors = np.frombuffer(row["vectors"], dtype).reshape(row["n"], -1)
+        layers = []
+        for i, layer in enumerate(row["layers"]):
+            nodes = np.frombuffer(layer["nodes"], np.int32)
+            layers.append((nodes, np.frombuffer(layer["neighbours"], np.int32).reshape(len(nodes), 2 * WIDTH if i == 0 else WIDTH)))
+        members = np.frombuffer(row["members"], np.int64).reshape(row["n"], -1)
+        return cls(Graph(scaled(vectors, row["scale"]), layers), vectors, members[:, 0], members[:, 1:], row["scale"])
+
+    def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, id, distance) of the k nearest rows found for each query; ties by id."""
+        found = self.graph.search(scaled(queries, self.scale))
+        nodes = np.maximum(found, 0)
+        gap = self.vectors[nodes].astype(np.float64) - queries.astype(np.float64)[:, None]
+        with np.errstate(over="ignore"):
+            dist = np.sqrt((gap * gap).sum(2))
+            far = np.isinf(dist)
+            if far.any():  # squares beyond a double; the scale is a power of two, so it costs no digit
+                dist[far] = np.sqrt(((gap[far] * self.scale) ** 2).sum(1)) / self.scale
+        dist[found < 0] = np.inf
+        near = np.lexsort((self.ids[nodes, 0], dist), axis=1)[:, :k]
+        nodes, dist = (np.take_along_axis(x, near, 1) for x in (nodes, dist))
+        ids = self.ids[nodes]
+        none = (np.arange(ids.shape[2]) >= self.held[nodes][..., None]) | np.isinf(dist)[..., None] & (np.take_along_axis(found, near, 1) < 0)[..., None]
+        ids, none, dist = ids.reshape(len(ids), -1), none.reshape(len(ids), -1), np.repeat(dist, ids.shape[2], 1)
+        order = np.lexsort((ids, dist, none), axis=1)[:, :k]
+        ids, dist, none = (np.take_along_axis(x, order, 1) for x in (ids, dist, none))
+        return np.repeat(np.arange(len(queries)), (~none).sum(1)), ids[~none], dist[~none]
 
 
 def search(stored: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest rows (not the query's own) of each of queries (usable() rows).
+    """query_id, rank, vec_id, score and query_hash of the k nearest rows (not the query's own) of each of queries (usable() rows).
 
     stored: index(..., k), written. Queries with one vector are searched once.
     """
-    asked = materialise(queries.select("v").distinct().withColumn("q", F.xxhash64("v")).withColumn("dim", F.size("v")), "asked")
-    where = {r.dim: (r.shards, max(1, -(-r.asked // BLOCK))) for r in stored.groupBy("dim").agg(F.count("*").alias("shards")).join(asked.groupBy("dim").agg(F.count("*").alias("asked")), "dim").collect()}
-    blocks, shards = F.lit(1), F.lit(0)
-    for dim, (n_shards, n_blocks) in where.items():
-        blocks = F.when(F.col("dim") == dim, F.lit(n_blocks)).otherwise(blocks)
-        shards = F.when(F.col("dim") == dim, F.lit(n_shards)).otherwise(shards)
+    kind, dtype = dict(queries.dtypes)["v"], _dtype(queries)
+    element = pa.float32() if dtype is np.float32 else pa.float64()
+    asked = queries.select("v").distinct().select("v", F.size("v").alias("dim"), F.xxhash64("v", F.lit(6)).alias("key"))
+    counts = asked.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = asked.join(counts, "dim").groupBy("dim", F.pmod("key", "blocks").alias("block")).agg(F.collect_list("v").alias("asked"))  # about BLOCK
+    shards = stored.groupBy("dim").agg(F.count("*").cast("int").alias("shards"))
     # The stated queries meet every shard, a block of them at a time.
-    sent = asked.withColumn("block", F.pmod(F.hash("v"), blocks)).where(shards > 0).withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
-    graphs = stored.where(shards > 0).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-
-    def run(key: tuple, own: pa.Table, asked: pa.Table) -> pa.Table:
-        names = {"v": pa.list_(pa.float32()), "vec_id": pa.int64(), "score": pa.float64()}
-        if not own.num_rows or not asked.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in names.items()})
-        graph, members = loaded(own.to_pylist()[0])
-        flat = asked["v"].combine_chunks()
-        vectors = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.float32)
-        at, ids, scores = [], [], []
-        for start in range(0, len(vectors), 256):
-            part = vectors[start : start + 256]
-            found = graph.search(part)
-            gap = graph.vectors[np.maximum(found, 0)].astype(np.float64) - part.astype(np.float64)[:, None]
-            dist = np.sqrt((gap * gap).sum(2))
-            dist[found < 0] = np.inf
-            near = np.argsort(dist, 1, kind="stable")[:, : k + 1]
-            nodes, dist = np.take_along_axis(found, near, 1), np.take_along_axis(dist, near, 1)
-            own_ids = np.where((nodes >= 0)[..., None], members[np.maximum(nodes, 0)], -1).reshape(len(part), -1)
-            own_dist = np.repeat(dist, members.shape[1], 1)
-            own_dist[own_ids < 0] = np.inf
-            order = np.lexsort((own_ids, own_dist), axis=1)[:, : k + 1]
-            own_ids, own_dist = np.take_along_axis(own_ids, order, 1), np.take_along_axis(own_dist, order, 1)
-            use = own_ids >= 0
-            at.append(np.repeat(np.arange(start, start + len(part)), use.sum(1)))
-            ids.append(own_ids[use])
-            scores.append(own_dist[use])
-        return pa.table({"v": flat.take(pa.array(np.concatenate(at))).cast(names["v"]), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
-
-    found = graphs.groupBy("dim", "shard", "block").cogroup(sent.select("dim", "shard", "block", "v").groupBy("dim", "shard", "block")).applyInArrow(run, "v array<float>, vec_id long, score double")
+    sent = blocks.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    dealt = stored.withColumn("asked", F.lit(None).cast(f"array<{kind}>")).unionByName(sent.select("dim", "shard", "asked"), allowMissingColumns=True)
+    dealt = dealt.withColumn("turn", F.col("asked").isNotNull()).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at = None, None
+        for batch in batches:
+            for k_row in range(batch.num_rows):
+                row = batch.slice(k_row, 1)
+                place = (row["dim"][0].as_py(), row["shard"][0].as_py())
+                if not row["turn"][0].as_py():
+                    own, at = Shard.of({c: row[c][0].as_py() for c in ("n", "scale", "members", "vectors", "layers")}, dtype), place
+                elif at == place:
+                    flat = row["asked"].flatten()
+                    vectors = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(dtype)
+                    step = max(16, min(256, SEEN // len(own.vectors)))
+                    for start in range(0, len(vectors), step):
+                        query, ids, scores = own.nearest(vectors[start : start + step], k + 1)
+                        yield pa.record_batch([flat.take(pa.array(query + start)).cast(pa.list_(element)), pa.array(ids), pa.array(scores)], ["v", "vec_id", "score"])
+
+    found = mapped(dealt, run, f"v {kind}, vec_id long, score double", "ann")
     best = Window.partitionBy("v").orderBy("score", "vec_id")
     merged = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n")
-    own = queries.select(F.col("vec_id").alias("query_id"), "v").join(merged, "v").where("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return own.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    own = queries.select(F.col("vec_id").alias("query_id"), "v").join(merged, "v").where("query_id <> vec_id or score > 0")
+    rank = F.row_number().over(Window.partitionBy("query_id", "v").orderBy("score", "vec_id"))
+    return own.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score", F.xxhash64("v").alias("query_hash")).where(F.col("rank") <= k)
 
 
-def neighbours(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def neighbours(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", shard: int | None = None) -> DataFrame:
     """The k nearest other rows, by Euclidean distance, of each row whose vec_id satisfies is_query.
 
-    Null, zero and non-finite vectors and null ids take no part; vectors of another length are never near. Repeated
-    rows of an id count once for each other row, never for a query of that id. Fewer candidates than k: all of them.
+    Null, zero and non-finite vectors and null ids take no part; vectors of another length are never near. Rows are what is
+    searched: repeated rows (one id, one vector) count once; an id that stands on several vectors is as many candidates,
+    each at its own rank, and as many queries, told apart by query_hash, of which only the row itself is no candidate.
+    Fewer candidates than k: all of them. A distance beyond a double's range is infinite. Other columns are left out; no
+    rows give none.
     """
-    own = usable(rows, id_col, vec_col)
-    stored = materialise(index(own, k), "graphs")
-    return search(stored, own.where(is_query(F.col("vec_id"))).distinct(), k)
+    own = usable(rows, id_col, vec_col).distinct()
+    stored = materialise(index(own, k, shard), "graphs")
+    return search(stored, own.where(is_query(F.col("vec_id"))), k)
