@@ -163,7 +163,7 @@ BASE = RULES[:2]
 def work() -> dict[str, Column]:
     """What a statistic costs for one text, and its size, in bytes of text passed over once. Patterns pass a byte about four times as slowly as replacements; a window is hashed, sorted and looked at as long as some bytes are replaced."""
     size, words = F.octet_length("_text"), F.col("n_words")
-    return {"n_words": 4 * size, "word_chars": len(BLANKS) * size, "n_symbols": len(SYMBOLS) * size, "n_dup_lines": 5 * size, "n_repeat_words": words * (40 + 4 * F.log2(words + 2)), "size": size}
+    return {"n_words": 4 * size, "word_chars": len(BLANKS) * size, "n_symbols": len(SYMBOLS) * size, "n_dup_lines": 5 * size, "n_repeat_words": (words * (40 + 4 * F.log2(words + 2))).cast("long"), "size": size}
 
 
 def sampled(docs: DataFrame, text_col: str = "text", n_rows: int | None = None) -> DataFrame:

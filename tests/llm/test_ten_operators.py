@@ -413,8 +413,9 @@ def test_toxicity_odd_tables(spark, hard):
     rows = toxicity.scored(hard, toxicity.fit(hard, none)).collect()
     assert len(rows) == len(HARD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     odd = spark.createDataFrame([(6, None, 1), (None, 1, 1), (8, 1, None), (9, 1, 0)], "doc_id long, quality int, toxic int")
-    kept = toxicity.scored_with_columns(hard, toxicity.fit(hard, odd))
-    assert kept.columns == [*hard.columns, "_score"] and kept.count() == len(HARD) and toxicity.scored(empty(hard), toxicity.fit(empty(hard), odd)).count() == 0
+    model = toxicity.fit(hard, odd)
+    kept = toxicity.kept_rows(hard, model)
+    assert kept.columns == hard.columns and kept.count() == toxicity.scored(hard, model).where("score < 0.5").count() and toxicity.scored(empty(hard), toxicity.fit(empty(hard), odd)).count() == 0
 
 
 # --- SentencePiece ---------------------------------------------------------------------------------------------------
