@@ -161,6 +161,35 @@ def token_labels(docs: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]:
     return [np.array([y and any(a in marks for a in attributes(w)[:-1]) for w in words], bool) for words, y in zip(docs, toxic, strict=True)]
 
 
+#: Windows that a step of the training holds the vectors of at once.
+WINDOWS = 1000
+
+
+def misses(model: Model, at: np.ndarray, real: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows (n, WINDOW): each word's tag less its marginal, and the tag pairs that there are less those expected."""
+    n = len(at)
+    scores = np.clip(model.bias + model.weights[at].sum(2), -20, 20)
+    m, e = np.exp(model.chain), np.exp(scores)
+    ones = np.ones((n, 2))
+    forward, a = np.empty((WINDOW, n, 2)), ones
+    for t in range(WINDOW):
+        a = np.where(real[:, t, None], _unit(_step(a, m, e[:, t])), a)
+        forward[t] = a
+    backward, b = np.empty((WINDOW, n, 2)), ones
+    for t in range(WINDOW - 1, -1, -1):
+        backward[t] = b
+        b = np.where(real[:, t, None], _unit(_back(b, m, e[:, t])), b)
+    p = forward * backward
+    miss = np.where(real, gold - (p[..., 1] / p.sum(-1)).T, 0.0)
+    pairs = real[:, 1:]
+    both = forward[:-1, :, :, None] * m[None, None] * (backward[1:] * np.stack([np.ones_like(e), e], -1).transpose(1, 0, 2)[1:])[:, :, None, :]
+    both /= np.maximum(both.sum((2, 3), keepdims=True), 1e-300)
+    expected = (both * pairs.T[:, :, None, None]).sum((0, 1))
+    g = gold.astype(int)
+    found = np.bincount((2 * g[:, :-1] + g[:, 1:])[pairs], minlength=4).reshape(2, 2)
+    return miss, found - expected
+
+
 def fit_chain(docs: list[list[str]], tags: list[np.ndarray], steps: int = 40, hot_windows: int = HOT_WINDOWS, clean_windows: int = CLEAN_WINDOWS) -> Model:
     """A chain fitted by AdaGrad to windows of words: at most hot_windows with a toxic tag, and of the others twice as many as have one (1,000 at least, clean_windows at most); both drawn at random."""
     rng = np.random.default_rng(5)
@@ -176,7 +205,7 @@ def fit_chain(docs: list[list[str]], tags: list[np.ndarray], steps: int = 40, ho
         return model
     known: dict[str, list[int]] = {}
     n = len(used)
-    at, real, gold = np.zeros((n, WINDOW, ATTRIBUTES), np.int64), np.zeros((n, WINDOW), bool), np.zeros((n, WINDOW), bool)
+    at, real, gold = np.zeros((n, WINDOW, ATTRIBUTES), np.int32), np.zeros((n, WINDOW), bool), np.zeros((n, WINDOW), bool)
     for i, (words, own) in enumerate(used):
         for w in words:
             if w not in known:
@@ -184,30 +213,16 @@ def fit_chain(docs: list[list[str]], tags: list[np.ndarray], steps: int = 40, ho
         if words:
             at[i, : len(words)] = [known[w] for w in words]
             real[i, : len(words)], gold[i, : len(words)] = True, own
+    del known, used, hot, cold
     weight_sq, chain_sq, bias_sq = np.full(SLOTS, 1e-8), np.full((2, 2), 1e-8), 1e-8
-    pairs_real = real[:, 1:]
     for _ in range(steps):
-        scores = np.clip(model.bias + model.weights[at].sum(2), -20, 20)
-        m, e = np.exp(model.chain), np.exp(scores)
-        ones = np.ones((n, 2))
-        forward, a = np.empty((WINDOW, n, 2)), ones
-        for t in range(WINDOW):
-            a = np.where(real[:, t, None], _unit(_step(a, m, e[:, t])), a)
-            forward[t] = a
-        backward, b = np.empty((WINDOW, n, 2)), ones
-        for t in range(WINDOW - 1, -1, -1):
-            backward[t] = b
-            b = np.where(real[:, t, None], _unit(_back(b, m, e[:, t])), b)
-        p = forward * backward
-        p1 = (p[..., 1] / p.sum(-1)).T
-        miss = np.where(real, gold - p1, 0.0)
-        grad = np.bincount(at.ravel(), np.repeat(miss.ravel(), ATTRIBUTES), SLOTS) - 0.02 * model.weights
-        both = forward[:-1, :, :, None] * m[None, None] * (backward[1:] * np.stack([np.ones_like(e), e], -1).transpose(1, 0, 2)[1:])[:, :, None, :]
-        both /= np.maximum(both.sum((2, 3), keepdims=True), 1e-300)
-        expected = (both * pairs_real.T[:, :, None, None]).sum((0, 1))
-        g = gold.astype(int)
-        found = np.bincount((2 * g[:, :-1] + g[:, 1:])[pairs_real], minlength=4).reshape(2, 2)
-        chain_grad, bias_grad = found - expected - 0.02 * model.chain, miss.sum()
+        grad, chain_grad, bias_grad = -0.02 * model.weights, -0.02 * model.chain, 0.0
+        for k in range(0, n, WINDOWS):
+            own = slice(k, k + WINDOWS)
+            miss, moved = misses(model, at[own], real[own], gold[own])
+            grad += np.bincount(at[own].ravel(), np.repeat(miss.ravel(), ATTRIBUTES), SLOTS)
+            chain_grad += moved
+            bias_grad += miss.sum()
         weight_sq += grad**2
         chain_sq += chain_grad**2
         bias_sq += bias_grad**2
