@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What a folded name keeps: digits, letters a to z, ampersand, kana, Han, Hangul, half-width kana.
-KEPT = "0-9a-z&぀-ヿ㐀-䶿一-鿿가-힯ｦ-ﾟ"
+#: What a folded name keeps (digits, letters a to z, ampersand, kana, Han, Hangul, half-width kana), and the two kinds of brackets.
+KEPT = "0-9a-z&぀-ヿ㐀-鿿가-힯ｦ-ﾟ"
 _DROPPED = re.compile(f"[^{KEPT}]+")
 _NUMBERED = re.compile(r"^[0-9]{2,}")
-PARENTHESES = r"[(（\[【][^)）\]】]*[)）\]】]"
+PARENTHESES = r"\([^)]*\)|（[^）]*）"
 
 
 def _fold(text: str | None) -> str:
@@ -47,13 +47,13 @@ def unescaped(text: pd.Series) -> pd.Series:
 
 
 def with_name_keys(rows: DataFrame, name: str = "name") -> DataFrame:
-    """rows with name_full (parentheses kept), name_bare (without them, unless nothing is left), their compact forms, and name_inner."""
+    """rows with name_full (brackets kept), name_bare (without them, unless nothing is left), name_inner (what stands in them), and their compact forms."""
     out = rows.withColumn("name_full", folded(F.coalesce(F.col(name), F.lit(""))))
     out = out.withColumn("_bare", folded(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), PARENTHESES, " ")))
     out = out.withColumn("name_bare", F.when(F.col("_bare") == "", F.col("name_full")).otherwise(F.col("_bare")))
-    inner = F.regexp_extract_all(F.coalesce(F.col(name), F.lit("")), F.lit(PARENTHESES), F.lit(0))
+    inner = F.transform(F.regexp_extract_all(F.coalesce(F.col(name), F.lit("")), F.lit(PARENTHESES), F.lit(0)), lambda x: F.substring(x, 2, F.char_length(x) - 2))
     out = out.withColumn("name_inner", folded(F.array_join(inner, " ")))
-    return out.withColumns({"compact_full": compact(F.col("name_full")), "compact_bare": compact(F.col("name_bare"))}).drop("_bare")
+    return out.withColumns({f"compact_{k}": compact(F.col(f"name_{k}")) for k in ("full", "bare", "inner")}).drop("_bare")
 
 
 def compact(folded_name: Column) -> Column:
@@ -112,10 +112,11 @@ UNITS = ("suite", "ste", "unit", "apt")
 
 
 def street_signature(addr: Column) -> Column:
-    """House number and the first two words after it, kinds of street shortened; null without them."""
-    plain = F.lower(F.regexp_replace(addr, r"[.,#]", " "))
-    plain = F.regexp_replace(plain, rf"\b({'|'.join(UNITS)})\s*\d*\b", " ")
-    for long, short in STREET_KINDS.items():
-        plain = F.regexp_replace(plain, rf"\b{long}\b", short)
-    found = F.regexp_extract(F.regexp_replace(plain, r"\s+", " "), r"(?:^|\s)(\d+[a-z]?(?:-\d+)?) ([^\d\s]\S*) (\S+)", 0)
-    return F.nullif(F.trim(found), F.lit(""))
+    """The first word that is a number, and the two after it, kinds of street shortened and units left out; null without them."""
+    words = F.regexp_replace(F.lower(addr), "[^a-z0-9 ]", " ")
+    words = F.regexp_replace(words, rf"\b({'|'.join(UNITS)})\s*[0-9]*\b", " ")
+    shortened = F.create_map(*[F.lit(x) for pair in STREET_KINDS.items() for x in pair])
+    each = F.transform(F.filter(F.split(words, " +"), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(shortened, w), w))
+    numbers = F.filter(F.transform(each, lambda w, i: F.when(w.rlike("^[0-9]+$"), i)), lambda i: i.isNotNull())
+    at = F.get(numbers, F.lit(0))
+    return F.when(F.size(each) >= at + 3, F.array_join(F.slice(each, at + 1, F.lit(3)), " "))

@@ -27,11 +27,12 @@ def _column(row: Column, lng: Column, step: float, polar: float) -> tuple[Column
     return F.pmod(F.floor((lng + 180) / (F.lit(360.0) / n)), n), n
 
 
-def spatial_join(left: DataFrame, right: DataFrame, radius_m: float, lat: str = "lat", lng: str = "lng", polar: float = 85.0) -> DataFrame:
+def spatial_join(left: DataFrame, right: DataFrame, radius_m: float, lat: str = "lat", lng: str = "lng", polar: float = 85.0, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (columns of left and right, prefixed l_ and r_) at most radius_m apart, with distance_m.
 
     An equi-join on grid cells: the right side keeps its cell, the left side goes to the cells around its own, and the
-    distance is tested on what meets. Rows without a valid position meet nothing.
+    distance is tested on what meets. With columns ``on``, only rows that agree in them (null agrees with null) meet, so
+    that many rows on one spot cost no more than their keys. Rows without a valid position meet nothing.
     """
     step = radius_m * 1.001 / METRES_PER_DEGREE
     own, other = (df.where(geo.valid(lat, lng)).select([F.col(c).alias(f"{p}{c}") for c in df.columns]) for df, p in ((left, "l_"), (right, "r_")))
@@ -42,19 +43,32 @@ def spatial_join(left: DataFrame, right: DataFrame, radius_m: float, lat: str =
     l_col, n = _column(F.col("_row"), F.col(f"l_{lng}"), step, polar)
     around = F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.pmod(l_col + d, n)))
     near = near.withColumn("_col", F.explode(around))
-    met = near.join(placed, ["_row", "_col"]).withColumn("distance_m", geo.haversine(f"l_{lat}", f"l_{lng}", f"r_{lat}", f"r_{lng}"))
-    return met.where(F.col("distance_m") <= radius_m).drop("_row", "_col")
+    same = (near["_row"] == placed["_row"]) & (near["_col"] == placed["_col"])
+    for c in on:
+        same = same & F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}"))
+    met = near.join(placed, same).drop("_row", "_col").withColumn("distance_m", geo.haversine(f"l_{lat}", f"l_{lng}", f"r_{lat}", f"r_{lng}"))
+    return met.where(F.col("distance_m") <= radius_m)
 
 
-def mutual_best(edges: DataFrame, a: str, b: str, order: list[Column], a_group: str | None = None, b_group: str | None = None) -> DataFrame:
-    """Edges that are the best of both their ends, by order (which must tell all edges apart).
+def mutual_best(edges: DataFrame, a: str, b: str, order: list[Column], a_group: str | None = None, b_group: str | None = None, last: bool = False) -> DataFrame:
+    """Edges that both their ends hold for their best, by order (columns of an edge that are smaller for better ones).
 
-    With groups, an end has one best for each group of the other end (as one for each other source).
+    An edge stands once, either way round, and each end ranks all edges that it is in, whichever column it stands in. With
+    groups, an end has one best for each group of the other end (as one for each other source). Of an end's equally good
+    partners the smallest wins, or the largest if last. Bests are minima, so that a hub is counted before the shuffle.
     """
-    w_a = Window.partitionBy(a, *[b_group] * bool(b_group)).orderBy(*order)
-    w_b = Window.partitionBy(b, *[a_group] * bool(a_group)).orderBy(*order)
-    ranked = edges.withColumns({"_a": F.row_number().over(w_a), "_b": F.row_number().over(w_b)})
-    return ranked.where("_a = 1 and _b = 1").drop("_a", "_b")
+    a_to = F.col(b_group) if b_group else F.lit(None).cast("string")
+    b_to = F.col(a_group) if a_group else F.lit(None).cast("string")
+    keys = [c.alias(f"_o{k}") for k, c in enumerate(order)]
+    ends = F.array(F.struct(F.col(a).alias("own"), F.col(b).alias("other"), a_to.alias("to")), F.struct(F.col(b).alias("own"), F.col(a).alias("other"), b_to.alias("to")))
+    seen = edges.select(F.explode(ends).alias("e"), *keys)
+    rank = [F.col(f"_o{k}") for k in range(len(order))]
+    first = seen.groupBy("e.own", "e.to").agg(F.min(F.struct(*rank)).alias("_least"))
+    tied = seen.join(first.withColumnsRenamed({"own": "_own", "to": "_to"}), (F.col("e.own") == F.col("_own")) & F.col("e.to").eqNullSafe(F.col("_to")) & (F.struct(*rank) == F.col("_least")))
+    best = tied.groupBy("_own", "_to").agg((F.max if last else F.min)("e.other").alias("_best"))
+    mine, theirs = (best.select(F.col("_own").alias(f"_{p}"), F.col("_to").alias(f"_{p}_to"), F.col("_best").alias(f"_{p}_best")) for p in "ab")
+    kept = edges.join(mine, (F.col(a) == F.col("_a")) & a_to.eqNullSafe(F.col("_a_to")) & (F.col(b) == F.col("_a_best")), "left_semi")
+    return kept.join(theirs, (F.col(b) == F.col("_b")) & b_to.eqNullSafe(F.col("_b_to")) & (F.col(a) == F.col("_b_best")), "left_semi")
 
 
 def unambiguous_best(edges: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -65,9 +79,9 @@ def unambiguous_best(edges: DataFrame, key: str, order: list[Column]) -> DataFra
 
 
 def only_candidates(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Edges whose ends have no other edge."""
-    n = {f"_{c}": F.count("*").over(Window.partitionBy(c)) for c in (a, b)}
-    return edges.withColumns(n).where(f"_{a} = 1 and _{b} = 1").drop(*n)
+    """Edges whose ends are in no other edge, in either column."""
+    often = edges.select(F.explode(F.array(a, b)).alias("_end")).groupBy("_end").agg(F.count("*").alias("_n")).where("_n > 1").select("_end")
+    return edges.join(often, F.col(a) == F.col("_end"), "left_anti").join(often, F.col(b) == F.col("_end"), "left_anti")
 
 
 def star_edges(rows: DataFrame, key: list[str], unit_id: str = "unit_id") -> DataFrame:
@@ -77,27 +91,32 @@ def star_edges(rows: DataFrame, key: list[str], unit_id: str = "unit_id") -> Dat
     return keyed.join(least, key).where(F.col(unit_id) != F.col("b")).select(F.col(unit_id).alias("a"), "b")
 
 
-def nearest_same_name(units: DataFrame, radius_m: float, key: str = "key", group: str = "source", unit_id: str = "unit_id", passes: int = 6) -> DataFrame:
-    """Edges of units with one key but different groups, each the nearest of the other, repeated until none is new.
+def mutual_nearest(pairs: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) of candidate pairs (a, b, distance_m), each the other's nearest, again and again until none is new.
 
-    A pass leaves out pairs whose clusters are linked; clusters are those of the passes before.
+    A pass leaves out pairs whose ends are linked by then (clusters: unit_id, cluster_id of what was linked before), so a
+    third unit of a place can join the two that found each other first. Every pass links the nearest pair that is left,
+    so the passes end; there is no bound on them.
     """
-    from .graph import components
-
-    pairs = spatial_join(units, units, radius_m).where((F.col(f"l_{key}") == F.col(f"r_{key}")) & (F.col(f"l_{group}") != F.col(f"r_{group}")) & (F.col(f"l_{unit_id}") < F.col(f"r_{unit_id}")))
-    pairs = pairs.select(F.col(f"r_{unit_id}").alias("a"), F.col(f"l_{unit_id}").alias("b"), "distance_m", F.col(f"l_{group}").alias("b_group"), F.col(f"r_{group}").alias("a_group")).persist()
+    from .graph import _written, components
+
+    pairs = _written(pairs.select("a", "b", "distance_m").where("a <> b").distinct())
+    if clusters is not None:
+        own, other = (clusters.select(F.col("unit_id").alias(c), F.col("cluster_id").alias(f"k_{c}")) for c in "ab")
+        left = _written(pairs.join(own, "a").join(other, "b"))
+    else:
+        left = pairs.withColumns({"k_a": F.col("a"), "k_b": F.col("b")})
     found = None
-    for _ in range(passes):
-        left = pairs
-        if found is not None:
-            label = components(found)
-            own, other = (label.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
-            left = pairs.join(own, "a", "left").join(other, "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)").select(pairs.columns)
-        best = mutual_best(left, "a", "b", [F.col("distance_m"), F.col("b"), F.col("a")], "a_group", "b_group").select("a", "b")
+    while True:
+        open_pairs = left.where("k_a <> k_b")
+        best = _written(mutual_best(open_pairs, "a", "b", [F.col("distance_m")]).select("a", "b", "k_a", "k_b"))
         if best.isEmpty():
-            break
-        found = best if found is None else found.unionByName(best).distinct()
-    return found if found is not None else pairs.select("a", "b").where("false")
+            return found if found is not None else best.select("a", "b")
+        found = best.select("a", "b") if found is None else found.unionByName(best.select("a", "b"))
+        label = components(best.select(F.col("k_a").alias("a"), F.col("k_b").alias("b")))
+        own, other = (label.select(F.col("node").alias(f"k_{c}"), F.col("component").alias(f"n_{c}")) for c in "ab")
+        moved = open_pairs.join(own, "k_a", "left").join(other, "k_b", "left")
+        left = _written(moved.select("a", "b", "distance_m", F.coalesce("n_a", "k_a").alias("k_a"), F.coalesce("n_b", "k_b").alias("k_b")))
 
 
 def key_lookup(rows: DataFrame, keys: Column, table: DataFrame, table_key: str, value: str, row_id: str) -> DataFrame:
@@ -129,33 +148,39 @@ def superseded(bundled: DataFrame, fresh: DataFrame, source: str = "source") ->
     return bundled.join(fresh.select(source).distinct(), source, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def one_per_group(edges: DataFrame, schema: str | None = None) -> DataFrame:
-    """Edges (component, a, b, a_cluster, b_cluster, a_official, b_official, similarity, distance_m) taken in order of similarity, then distance, so that no cluster gets two units of one official source.
+def one_per_group(edges: DataFrame, clusters: DataFrame, order: list[Column]) -> DataFrame:
+    """Edges (a, b, a_cluster, b_cluster, ...) taken one after another in order, so that no cluster gets a member twice.
 
-    The order matters within a component of candidate edges, so each component is one group.
+    clusters: cluster_id, members (array) of clusters that have any, as the official sources in them. An edge joins its two
+    clusters, unless they are one by then or have a member in common. What happens to an edge depends only on earlier edges
+    of its two clusters, so all edges that are the first of both are settled together, round by round: no cluster, and no
+    component, comes to one task. order must tell all edges apart.
     """
-
-    def run(pdf):
-        pdf = pdf.sort_values(["similarity", "distance_m", "a", "b"], ascending=[False, True, True, True])
-        root, held, keep = {}, {}, []
-
-        def find(x):
-            while root.get(x, x) != x:
-                x = root[x]
-            return x
-
-        for r in pdf.itertuples(index=False):
-            a, b = find(r.a_cluster), find(r.b_cluster)
-            for c, official in ((a, r.a_official), (b, r.b_official)):
-                held.setdefault(c, set()).update([official] if official else [])
-            fits = a != b and not (held[a] & held[b])
-            keep.append(fits)
-            if fits:
-                root[b] = a
-                held[a] |= held[b]
-        return pdf[keep]
-
-    return edges.groupBy("component").applyInPandas(run, schema or edges.schema)
+    from .graph import _written
+
+    names = edges.columns
+    left = _written(edges.withColumns({"_o": F.struct(*order), "_ka": F.col("a_cluster"), "_kb": F.col("b_cluster")}))
+    held, taken = clusters.select("cluster_id", "members"), None
+    left = left.where("_ka <> _kb")
+    while True:
+        ends = left.select(F.explode(F.array("_ka", "_kb")).alias("_k"), "_o").groupBy("_k").agg(F.min("_o").alias("_first"))
+        mine, theirs = (ends.select(F.col("_k").alias(f"_k{p}"), F.col("_first").alias(f"_f{p}")) for p in "ab")
+        ready = left.join(mine, "_ka").join(theirs, "_kb").where((F.col("_o") == F.col("_fa")) & (F.col("_o") == F.col("_fb")))
+        has, other = (held.select(F.col("cluster_id").alias(f"_k{p}"), F.col("members").alias(f"_m{p}")) for p in "ab")
+        judged = ready.join(has, "_ka", "left").join(other, "_kb", "left").withColumn("_fits", ~F.coalesce(F.arrays_overlap("_ma", "_mb"), F.lit(False)))
+        judged = _written(judged.select(*names, "_o", "_ka", "_kb", "_fits"))
+        if judged.isEmpty():
+            return taken if taken is not None else edges.where("false")
+        fits = judged.where("_fits")
+        taken = fits.select(*names) if taken is None else taken.unionByName(fits.select(*names))
+        # A cluster is in one edge of a round at most, so the larger of the two takes the smaller's name.
+        label = fits.select(F.greatest("_ka", "_kb").alias("node"), F.least("_ka", "_kb").alias("component"))
+        rest = left.join(judged.select(F.col("_o").alias("_done")), F.col("_o") == F.col("_done"), "left_anti")
+        own, there = (label.select(F.col("node").alias(f"_k{p}"), F.col("component").alias(f"_n{p}")) for p in "ab")
+        rest = rest.join(own, "_ka", "left").join(there, "_kb", "left")
+        left = _written(rest.select(*names, "_o", F.coalesce("_na", "_ka").alias("_ka"), F.coalesce("_nb", "_kb").alias("_kb")).where("_ka <> _kb"))
+        now = held.join(label, held.cluster_id == label.node, "left").select(F.coalesce("component", "cluster_id").alias("cluster_id"), "members")
+        held = _written(now.groupBy("cluster_id").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("members")))
 
 
 def areas_named(rows: DataFrame, text: str, areas: DataFrame, row_id: str) -> DataFrame:

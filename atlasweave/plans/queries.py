@@ -200,10 +200,13 @@ def spatial_pairs(spark, sf):
     return _near(spark, sf).select(F.col("l_k").alias("a"), F.col("r_k").alias("b"), F.round("distance_m", 3).alias("distance_m"))
 
 
-@query(f"""with e as (select *, round(d, 3) as dist from {_PAIRS} where ag <> bg), r as (select *, row_number() over (partition by a, bg order by dist, a, b) as ra, row_number() over (partition by b, ag order by dist, a, b) as rb from e) select a, b, dist as distance_m from r where ra = 1 and rb = 1""")
+@query(f"""with e as (select a, b, ag, bg, round(d, 3) as dist from {_PAIRS} where ag <> bg),
+ends as (select a as own, b as other, bg as grp, dist from e union all select b, a, ag, dist from e),
+best as (select own, grp, other from (select *, row_number() over (partition by own, grp order by dist, other) as k from ends) where k = 1)
+select e.a, e.b, e.dist as distance_m from e join best x on x.own = e.a and x.grp = e.bg and x.other = e.b join best y on y.own = e.b and y.grp = e.ag and y.other = e.a""")
 def mutual_best_pairs(spark, sf):
     edges = _near(spark, sf).where("l_g <> r_g").select(F.col("l_k").alias("a"), F.col("r_k").alias("b"), F.col("l_g").alias("ag"), F.col("r_g").alias("bg"), F.round("distance_m", 3).alias("distance_m"))
-    return joins.mutual_best(edges, "a", "b", [F.col("distance_m"), F.col("a"), F.col("b")], "ag", "bg").select("a", "b", "distance_m")
+    return joins.mutual_best(edges, "a", "b", [F.col("distance_m")], "ag", "bg").select("a", "b", "distance_m")
 
 
 @query(f"""with e as (select a, b, cast(floor(d / 20000) as bigint) as band from {_PAIRS}), r as (select *, rank() over (partition by a order by band) as k from e), t as (select *, count(*) over (partition by a) as n from r where k = 1) select a, b, band from t where n = 1""")
@@ -315,11 +318,10 @@ def star_edges(spark, sf):
     return joins.star_edges(_t(spark, sf, "orders"), ["o_custkey", "o_orderstatus", "o_orderpriority"], "o_orderkey")
 
 
-@query("""with e as (select c_custkey as a, s_suppkey as b from customer join supplier on c_nationkey = s_nationkey and c_custkey % 40 = s_suppkey % 40), n as (select *, count(*) over (partition by a) as na, count(*) over (partition by b) as nb from e) select a, b from n where na = 1 and nb = 1""")
+@query("""with e as (select a.c_custkey as a, b.c_custkey as b from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_mktsegment = b.c_mktsegment and a.c_custkey % 7 = b.c_custkey % 7 and a.c_custkey < b.c_custkey), n as (select own, count(*) as n from (select a as own from e union all select b from e) group by own) select a, b from e join n x on x.own = a join n y on y.own = b where x.n = 1 and y.n = 1""")
 def only_candidates(spark, sf):
-    c, s = _t(spark, sf, "customer"), _t(spark, sf, "supplier")
-    edges = c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_custkey") % 40 == F.col("s_suppkey") % 40)).select(F.col("c_custkey").alias("a"), F.col("s_suppkey").alias("b"))
-    return joins.only_candidates(edges, "a", "b")
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("a"), "c_nationkey", "c_mktsegment", (F.col("c_custkey") % 7).alias("m"))
+    return joins.only_candidates(c.join(c.withColumnRenamed("a", "b"), ["c_nationkey", "c_mktsegment", "m"]).where("a < b").select("a", "b"), "a", "b")
 
 
 @query("""with l as (select l_orderkey, l_linenumber, cast(l_quantity as bigint) as lo, cast(l_quantity + l_linenumber as bigint) as hi from lineitem) select a.l_orderkey, a.l_linenumber as l_line, b.l_linenumber as r_line from l a join l b on a.l_orderkey = b.l_orderkey and a.l_linenumber < b.l_linenumber and a.lo <= b.hi and b.lo <= a.hi""")
