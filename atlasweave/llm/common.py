@@ -74,7 +74,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 #: Bytes of an Arrow batch, where the session doesn't say. Ten thousand documents, the usual limit, can be any size.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: What modules keep in a worker between tasks, by owner: functions that drop it.
 CACHES: dict[str, Callable[[], None]] = {}
 
