@@ -126,13 +126,38 @@ def key_lookup(rows: DataFrame, keys: Column, table: DataFrame, table_key: str,
     return rows.join(hit, row_id, "left")
 
 
+#: Names that are sent to every task at most; more are met by their first characters.
+SMALL, LEAD = 20_000, 3
+
+
+def holding(rows: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """Pairs of rows and names whose text holds the name (not an empty one).
+
+    A small table of names goes to every task. A larger one is joined: a text that holds a name holds its first LEAD
+    characters, so every distinct piece of that many characters of a text meets the names that begin with it.
+    """
+    names = names.where(F.col(name) != "")
+    inside = F.contains(F.col(text), F.col(name))
+    if names.count() <= SMALL:
+        return rows.join(F.broadcast(names), inside)
+    whole = F.sequence(F.lit(1), F.greatest(F.char_length(F.col(text)), F.lit(1)))
+    leads = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LEAD)), lambda n: F.transform(whole, lambda k: F.substring(F.col(text), k, n))))
+    met = rows.withColumn("_lead", F.explode(F.array_distinct(leads))).join(names.withColumn("_lead", F.substring(name, 1, LEAD)), "_lead")
+    return met.where(inside).drop("_lead")
+
+
 def contained_names(rows: DataFrame, text: str, names: DataFrame, name: str, row_id: str) -> DataFrame:
-    """For each row the name that its text holds earliest (the longest of those). names must be a small reference table (its size is checked)."""
-    if names.count() > 20_000:
-        raise ValueError("the reference table is too large to send to every task")
-    met = rows.join(F.broadcast(names), F.instr(F.col(text), F.col(name)) > 0)
+    """For each row the name that its text holds earliest (the longest of those); names: a table of any size."""
     order = F.struct(F.instr(F.col(text), F.col(name)), -F.char_length(name), F.col(name))
-    return met.groupBy(row_id).agg(*[F.min_by(c, order).alias(c) for c in names.columns])
+    return holding(rows, text, names, name).groupBy(row_id).agg(*[F.min_by(c, order).alias(c) for c in names.columns])
+
+
+def rare_pieces(pieces: DataFrame, share: Column, group: list[str]) -> DataFrame:
+    """Of sets of pieces (columns group say whose; key: the piece) those rarest ones of which two sets that share at least ``share`` of either's size n have one in common; with n."""
+    often = pieces.groupBy("key").agg(F.count("*").alias("df"))
+    own = pieces.join(often, "key").groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("ks")).withColumn("n", F.size("ks"))
+    few = F.slice("ks", F.lit(1), (F.col("n") - F.ceil(share - 1e-9) + 1).cast("int"))
+    return own.select(*group, "n", F.explode(few).alias("k")).select(*group, "n", "k.key")
 
 
 def interval_overlap(left: DataFrame, right: DataFrame, key: list[str], width: int) -> DataFrame:
@@ -186,17 +211,15 @@ def one_per_group(edges: DataFrame, clusters: DataFrame, order: list[Column]) ->
 def areas_named(rows: DataFrame, text: str, areas: DataFrame, row_id: str) -> DataFrame:
     """The deepest area that each row's text names: province, then a city of it, then a district of that.
 
-    areas: area_id, name, parent, depth (0 to 2); a reference table (its size is checked). Earliest and longest names
-    win. Rows that name no province, or no city of it, are left out.
+    areas: area_id, name, parent, depth (0 to 2), of any size. Earliest and longest names win. Rows that name no province,
+    or no city of it, are left out.
     """
-    if areas.count() > 20_000:
-        raise ValueError("the reference table is too large to send to every task")
     found = rows.select(row_id, text, F.lit(None).cast(dict(areas.dtypes)["area_id"]).alias("_parent"))
     out = None
     for depth, level in ((0, "province"), (1, "city"), (2, "district")):
         own = areas.where(F.col("depth") == depth).select(F.col("area_id").alias("_id"), F.col("name").alias("_name"), F.col("parent").alias("_of"))
-        inside = F.instr(F.col(text), F.col("_name")) > 0
-        met = found.join(F.broadcast(own), inside if depth == 0 else inside & (F.col("_parent") == F.col("_of")))
+        met = holding(found, text, own, "_name")
+        met = met if depth == 0 else met.where(F.col("_parent") == F.col("_of"))
         found = met.groupBy(row_id, text).agg(F.min_by("_id", F.struct(F.instr(F.col(text), F.col("_name")), -F.char_length("_name"), "_id")).alias("_parent"))
         hit = found.select(row_id, F.col("_parent").alias("area_id"), F.lit(level).alias("level"), F.lit(depth).alias("_d"))
         out = hit if out is None else out.unionByName(hit)

@@ -51,10 +51,17 @@ def islands(rows: DataFrame, key: list[str], position: str, same: list[str]) ->
     return marked.groupBy(*key, "_run").agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count("*").alias("length"), *[F.first(c).alias(c) for c in same]).drop("_run")
 
 
+def part_label(n: Column) -> Column:
+    """A, B, ..., Z, AA, AB, ... for 0, 1, ...: a label of its own for every part."""
+    step = lambda a, _: F.when(a["rest"] > 0, F.struct(F.floor((a["rest"] - 1) / 26).alias("rest"), F.concat(F.chr(F.pmod(a["rest"] - 1, F.lit(26)) + 65), a["label"]).alias("label"))).otherwise(a)
+    begin = F.struct((n + 1).cast("long").alias("rest"), F.lit("").alias("label"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), begin, step, lambda a: a["label"])  # 26**14 is beyond a long
+
+
 def parts(rows: DataFrame, layer: str, order: list[Column], size: int = 1990) -> DataFrame:
-    """rows with their place in a layer and the part (A, B, ...) of at most size rows that it goes to."""
+    """rows with their place in a layer and the part (A to Z, AA, ...) of at most size rows that it goes to."""
     numbered = dense_ids(rows, order, "place", [layer])
-    return numbered.withColumn("part", F.chr((F.floor((F.col("place") - 1) / size) + 65).cast("long")))
+    return numbered.withColumn("part", part_label(F.floor((F.col("place") - 1) / size)))
 
 
 def first_rule(rules: list[tuple[Column, str]], default: str | None = None) -> Column:
@@ -69,19 +76,21 @@ DAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
 
 def opening_times(days: DataFrame, venue: str) -> DataFrame:
-    """One line of opening times for each venue, days with the same times as ranges.
+    """One line of opening times for each venue, neighbouring days with the same times as ranges.
 
-    days: venue, day (0 is Monday), opens, closes (HH:MM), closed. A venue without exactly seven days, or whose every
-    time is the placeholder 00:00 to 00:00, has none.
+    days: venue, day (0 is Monday), opens, closes (HH:MM), closed; a row for each day. A day without times, or that closes
+    as it opens (the source's mark for "not filled in"), is left out, and a venue without another day has no line.
     """
-    same = F.when(F.col("closed"), "closed").when((F.col("opens") == "00:00") & (F.col("closes") == "24:00"), "24h").otherwise(F.concat_ws("-", "opens", "closes"))
-    shown = days.withColumn("times", same)
+    said = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    times = F.when(F.col("opens") == "00:00", F.when(F.col("closes") == "24:00", "24h")).otherwise(F.lit(None))
+    times = F.coalesce(times, F.when((said("opens") != "") & (said("closes") != "") & (said("opens") != said("closes")), F.concat_ws("-", said("opens"), said("closes"))))
+    shown = days.where("day between 0 and 6").withColumn("times", F.when(F.coalesce("closed", F.lit(False)), "closed").otherwise(times)).where("times is not null")
     runs = islands(shown, [venue], "day", ["times"])
     label = lambda c: F.element_at(F.array(*map(F.lit, DAYS)), (F.col(c) + 1).cast("int"))
     span = F.when(F.col("first") == F.col("last"), label("first")).otherwise(F.concat(label("first"), F.lit("-"), label("last")))
     lines = runs.withColumn("_line", F.concat(span, F.lit(" "), F.col("times")))
-    whole = lines.groupBy(venue).agg(F.sum("length").alias("_days"), F.bool_and(F.col("times") == "00:00-00:00").alias("_none"), F.array_sort(F.collect_list(F.struct("first", "_line"))).alias("_l"))
-    return whole.where("_days = 7 and not _none").select(venue, F.array_join(F.transform("_l", lambda x: x["_line"]), "; ").alias("hours"))
+    whole = lines.groupBy(venue).agg(F.array_sort(F.collect_list(F.struct("first", "_line"))).alias("_l"))
+    return whole.select(venue, F.array_join(F.transform("_l", lambda x: x["_line"]), "; ").alias("hours"))
 
 
 def ranked_images(images: DataFrame, owner: str, k: int = 3) -> DataFrame:

@@ -10,8 +10,6 @@ at go in as one, and names meet on their rarest pieces, so that no tier lists al
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,16 +57,6 @@ def _apart(pairs: DataFrame, clusters: DataFrame | None) -> DataFrame:
 # --- alike and near --------------------------------------------------------------------------------------------------
 
 
-def _met(pieces: DataFrame, sizes_matter: bool, share: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """(unit_id, key, n) of each unit's rarest pieces, enough that two alike units have one in common, and what they meet: those, or (sizes_matter) all pieces of larger sets."""
-    often = pieces.groupBy("key").agg(F.count("*").alias("df"))
-    own = pieces.join(often, "key").groupBy("unit_id", "form").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("ks"))
-    own = own.withColumn("n", F.size("ks"))
-    few = F.slice("ks", F.lit(1), (F.col("n") - F.ceil(share(F.col("n"))) + 1).cast("int"))
-    left = own.select("unit_id", "n", F.explode(few).alias("k")).select("unit_id", "n", "k.key")
-    return left, own.select("unit_id", "n", F.explode("ks").alias("k")).select("unit_id", "n", "k.key") if sizes_matter else left
-
-
 def alike_nearby(units: DataFrame, radius_m: float = NEAR_M) -> DataFrame:
     """Pairs (a, b, distance_m) of units closer than radius_m whose names may have a similarity of NEAR_SIMILARITY: every pair that has, and few others.
 
@@ -83,10 +71,11 @@ def alike_nearby(units: DataFrame, radius_m: float = NEAR_M) -> DataFrame:
     words = named.select("unit_id", "form", F.explode(F.array_distinct(F.filter(F.split("name", " "), lambda w: w != ""))).alias("w")).select("unit_id", "form", F.concat_ws(":", F.lit("w"), "form", "w").alias("key"))
     spots = units.select("unit_id", "lat", "lng")
     found = None
-    for pieces, sizes_matter, share in ((grams, False, lambda n: n * 3 / 7 - 1e-9), (words, True, lambda n: n * NEAR_SIMILARITY - 1e-9)):
-        left, right = (spots.join(x, "unit_id") for x in _met(pieces, sizes_matter, share))
-        met = joins.spatial_join(left, right, radius_m, on=("key",)).where("l_unit_id <> r_unit_id")
-        if sizes_matter:
+    for pieces, shorter, share in ((grams, False, F.col("n") * 3 / 7), (words, True, F.col("n") * NEAR_SIMILARITY)):
+        left = joins.rare_pieces(pieces, share, ["unit_id", "form"])
+        right = joins.rare_pieces(pieces, F.lit(1), ["unit_id", "form"]) if shorter else left  # the longer one's words, all
+        met = joins.spatial_join(spots.join(left, "unit_id"), spots.join(right, "unit_id"), radius_m, on=("key",)).where("l_unit_id <> r_unit_id")
+        if shorter:
             met = met.where("l_n <= r_n")
         met = met.select(F.greatest("l_unit_id", "r_unit_id").alias("a"), F.least("l_unit_id", "r_unit_id").alias("b"), "distance_m")
         found = met if found is None else found.unionByName(met)

@@ -73,7 +73,7 @@ def facet_counts(spark, sf):
 with c as (select *, case when c_custkey % 10 <> 0 then {_lat('c_custkey')} end as lat, case when c_custkey % 10 <> 0 then {_lng('c_custkey')} end as lng from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)
 select r_name as region, n_name as place, count(*) as n, count(lat) as plottable, min(lat) as min_lat, max(lat) as max_lat, min(lng) as min_lng, max(lng) as max_lng, string_agg(distinct c_mktsegment, ',' order by c_mktsegment) as aliases from c group by all""")
 def place_rollup(spark, sf):
-    rows = _t(spark, sf, "customer").join(F.broadcast(_t(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(_t(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = _t(spark, sf, "customer").join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = _at(rows, "c_custkey").withColumns({c: F.when(F.col("c_custkey") % 10 != 0, F.col(c)) for c in ("lat", "lng")})
     return aggregates.place_rollup(rows.withColumnsRenamed({"r_name": "region", "n_name": "place"}), ["region", "place"], F.col("c_mktsegment"))
 
@@ -156,14 +156,21 @@ def price_overall(spark, sf):
     return aggregates.overall_prices(_prices(spark, sf), ["country"]).select("country", "n", "mode", "median", "venues", "games", "tier")
 
 
+#: Tags of games that a table of prices may have; each stands in the plan.
+MOST_GAMES = 1000
+
+
 @query(f"""select n_name as country, t.game, coalesce(case when c.tier = 'measured' then c.mode end, o.mode, 100.0) as price, case when c.tier = 'measured' then 'cell' when o.mode is not null then 'overall' else 'default' end as basis
 from nation cross join (select distinct p_type as game from part) t left join {_cells(_PRICES, 'country, game')} c on c.country = n_nationkey and c.game = t.game left join {_cells(_VOTES, 'country')} o on o.country = n_nationkey""")
 def price_resolution(spark, sf):
     prices = _prices(spark, sf)
     cells = aggregates.price_cells(prices, ["country", "game"]).where("tier = 'measured'").select("country", "game", F.col("mode").alias("cell"))
     overall = aggregates.overall_prices(prices, ["country"]).select("country", F.col("mode").alias("overall"))
-    games = _t(spark, sf, "part").agg(F.collect_set("p_type").alias("games"))  # the dimension of tags: a handful
-    wanted = _t(spark, sf, "nation").join(F.broadcast(games)).select(F.col("n_nationkey").alias("country"), "n_name", F.explode("games").alias("game"))
+    # Every country with every tag that there is: the tags are put on one row for each country, the counts joined to them.
+    games = _t(spark, sf, "part").select("p_type").distinct().limit(MOST_GAMES + 1).collect()
+    if len(games) > MOST_GAMES:
+        raise ValueError(f"over {MOST_GAMES} tags: they are not a dimension of countries")
+    wanted = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("country"), "n_name", F.explode(F.array(*[F.lit(r.p_type) for r in games])).alias("game"))
     out = wanted.join(cells, ["country", "game"], "left").join(overall, "country", "left")
     return out.select(F.col("n_name").alias("country"), "game", F.coalesce("cell", "overall", F.lit(100.0)).alias("price"), F.when(F.col("cell").isNotNull(), "cell").when(F.col("overall").isNotNull(), "overall").otherwise("default").alias("basis"))
 
@@ -263,7 +270,7 @@ BOXES = [("NATION_1", 1, -30.0, 30.0, -60.0, 60.0), ("NATION_2", 2, 0.0, 60.0, 0
  j as (select c_custkey, n_name, official, max(case when country = n_name then 1 else 0 end) as fine, arg_min(country, ordinal) as first from c left join b on lat between s and n and lng between w and e group by all)
 select c_custkey, case when fine = 1 then 'keep' when official then 'null_position' when first is not null then 'fix_country' else 'flag' end as action, case when fine = 0 and not official and first is not null then first else n_name end as country from j""")
 def geo_validation(spark, sf):
-    rows = _at(_t(spark, sf, "customer").join(F.broadcast(_t(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("country")), "c_custkey")
+    rows = _at(_t(spark, sf, "customer").join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("country")), "c_custkey")
     boxes = spark.createDataFrame(BOXES, "country string, ordinal int, south double, north double, west double, east double")
     return checks.validated_positions(rows, boxes, F.col("c_custkey") % 3 == 0, "c_custkey").select("c_custkey", "action", "country")
 
@@ -288,10 +295,10 @@ def survivorship(spark, sf):
     return aggregates.survivors(rows, "cluster", F.when(F.col("name") == "F", 0).when(F.col("name") == "O", 1).otherwise(2))
 
 
-@query("""select user_id, list_sort(list(distinct event_type)) as kinds, substr(string_agg(distinct event_type, ' | ' order by event_type), 1, 20) as notes from events group by 1""")
+@query("""select user_id, list_sort(list(distinct event_type)) as kinds, substr(string_agg(distinct event_type, ' | ' order by event_type), 1, 800) as notes from events group by 1""")
 def united_sets(spark, sf):
     rows = _t(spark, sf, "events").select("user_id", F.array("event_type").alias("kinds"), F.col("event_type").alias("notes"))
-    return aggregates.united(rows, "user_id", ["kinds"], "notes", 20)
+    return aggregates.united(rows, "user_id", ["kinds"], "notes")
 
 
 @query("""with n as (select event_id, user_id, event_type, case when event_id % 4 = 0 then null else event_id % 7 end as q from events) select user_id, event_type, sum(coalesce(q, 1))::bigint as n, case when count(q) > 0 then 'ziv_comment' else 'ziv_listed' end as evidence from n group by all""")
@@ -307,7 +314,9 @@ select a.p_brand, a.p_name as left_name, b.p_name as right_name, round(greatest(
 from m a join m b on a.p_brand = b.p_brand and a.p_name < b.p_name where 2.0::double * len(list_intersect(a.bg, b.bg)) / (len(a.bg) + len(b.bg)) >= 0.6""")
 def alike_names(spark, sf):
     names = _t(spark, sf, "part").select("p_brand", "p_name").distinct()
-    pairs = names.withColumnRenamed("p_name", "left_name").join(names.withColumnRenamed("p_name", "right_name"), "p_brand").where("left_name < right_name")
+    grams = names.select("p_brand", "p_name", F.explode(text.bigrams(F.replace(F.col("p_name"), F.lit(" "), F.lit("")))).alias("key"))
+    rare = joins.rare_pieces(grams, F.col("n") * 3 / 7, ["p_brand", "p_name"])  # a dice of 0.6 shares at least 3/7 of either
+    pairs = rare.select("p_brand", "key", F.col("p_name").alias("left_name")).join(rare.select("p_brand", "key", F.col("p_name").alias("right_name")), ["p_brand", "key"]).where("left_name < right_name").select("p_brand", "left_name", "right_name").distinct()
     a, b = (text.bigrams(F.replace(F.col(c), F.lit(" "), F.lit(""))) for c in ("left_name", "right_name"))
     alike = pairs.withColumns({"_a": a, "_b": b}).where(text.dice(F.col("_a"), F.col("_b")) >= 0.6).drop("_a", "_b")
     return text.with_similarity(alike, "left_name", "right_name").withColumn("similarity", F.round("similarity", 6))
@@ -355,11 +364,11 @@ def overlay_apply(spark, sf):
     return checks.attested(docs, facts, "doc_id").select("doc_id", "tags", "closed")
 
 
-@query("""with m as (select doc_id, item_id, instr(d.text, split_part(b.text, ' ', 1) || ' ' || split_part(b.text, ' ', 2)) as pos, split_part(b.text, ' ', 1) || ' ' || split_part(b.text, ' ', 2) as name from documents d join benchmark b on instr(d.text, split_part(b.text, ' ', 1) || ' ' || split_part(b.text, ' ', 2)) > 0)
+@query("""with m as (select doc_id, b.text as name, instr(d.text, b.text) as pos from documents d join benchmark b on instr(d.text, b.text) > 0 where b.text <> '')
 select doc_id, arg_min(name, (pos, -length(name), name)) as name, min(pos) as pos from m group by 1""")
 def contained_names(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", "text")
-    names = _t(spark, sf, "benchmark").select(F.substring_index("text", " ", 2).alias("name")).distinct()
+    names = _t(spark, sf, "benchmark").select(F.col("text").alias("name")).distinct()
     found = joins.contained_names(docs, "text", names, "name", "doc_id")
     return docs.join(found, "doc_id").select("doc_id", "name", F.instr("text", F.col("name")).cast("long").alias("pos"))
 
@@ -370,10 +379,11 @@ def superseded_sources(spark, sf):
     return joins.superseded(docs, docs.where("source in ('src1', 'src2', 'src3') and doc_id % 2 = 0"))
 
 
-@query("""with j as (select e.doc_id, p.page_id, p.url from documents e join pages p on p.page_id = e.doc_id % 250) select doc_id, min(url) as url, count(*) as n from j group by 1""")
+@query("""with p as (select page_id % 997 as k, list_sort(list(url)) as urls, arg_min(url, page_id) as url from pages group by 1) select doc_id, urls, url from documents left join p on doc_id % 997 = k""")
 def enrichment_join(spark, sf):
-    docs, pages = _t(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 250).alias("page_id")), _t(spark, sf, "pages").select("page_id", "url")
-    return docs.join(pages, "page_id").groupBy("doc_id").agg(F.min("url").alias("url"), F.count("*").alias("n"))
+    docs, pages = _t(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 997).alias("k")), _t(spark, sf, "pages").select((F.col("page_id") % 997).alias("k"), "page_id", "url")
+    found = pages.groupBy("k").agg(F.array_sort(F.collect_list("url")).alias("urls"), F.min_by("url", "page_id").alias("url"))
+    return docs.join(found, "k", "left").select("doc_id", "urls", "url")
 
 
 @query("select source, count(*) as n, count(*) filter (where doc_id in (select doc_id from labels)) as hits, round(100.0::double * count(*) filter (where doc_id in (select doc_id from labels)) / count(*), 1) as pct from documents group by 1")
@@ -455,10 +465,13 @@ def journal_latest(spark, sf):
     return windows.latest_settled(events, ["user_id"], F.col("event_type") == "purchase", "ts").drop("ts")
 
 
-@query("select p_type as layer, p_partkey, place, chr(cast(65 + (place - 1) // 100 as int)) as part from (select *, row_number() over (partition by p_type order by p_brand, p_partkey) as place from part)")
+_LABEL = "case when n < 26 then chr(65 + n) else chr(64 + n // 26) || chr(65 + n % 26) end"
+
+
+@query(f"select layer, p_partkey, place, {_LABEL} as part from (select *, cast((place - 1) // 5 as int) as n from (select p_type as layer, p_partkey, row_number() over (partition by p_type order by p_brand, p_partkey) as place from part))")
 def layer_parts(spark, sf):
     rows = _t(spark, sf, "part").select(F.col("p_type").alias("layer"), "p_brand", "p_partkey")
-    return windows.parts(rows, "layer", [F.col("p_brand"), F.col("p_partkey")], 100).select("layer", "p_partkey", "place", "part")
+    return windows.parts(rows, "layer", [F.col("p_brand"), F.col("p_partkey")], 5).select("layer", "p_partkey", "place", "part")
 
 
 # --- markup, addresses of pages, exports ---------------------------------------------------------------------------
@@ -598,18 +611,19 @@ def judged_corrections(spark, sf):
     return checks.judged_corrections(proposals, rows).select("o_orderkey", "reason")
 
 
-@query(f"""with c as (select c_custkey, s_suppkey, {_lat('c_custkey')} as lat, {_lng('c_custkey')} as lng, {_lat('s_suppkey')} as alat, {_lng('s_suppkey')} as alng, c_nationkey as city, s_nationkey as acity from customer join supplier on c_custkey % 100 = s_suppkey)
+@query(f"""with c as (select c_custkey, s_suppkey, {_lat('c_custkey')} as lat, {_lng('c_custkey')} as lng, {_lat('s_suppkey')} as alat, {_lng('s_suppkey')} as alng, c_nationkey as city, s_nationkey as acity from customer join supplier on c_custkey % (select count(*) from supplier) = s_suppkey % (select count(*) from supplier))
 select c_custkey, case when {_hav('lat', 'lng', 'alat', 'alng', geo.RADIUS_KM)} > 5060 then 'distance' when instr(city::varchar, acity::varchar) = 0 and instr(acity::varchar, city::varchar) = 0 then 'city' end as refused_by from c""")
 def geocode_gate(spark, sf):
     suppliers = _at(_t(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("area_city")), "s_suppkey").withColumnsRenamed({"lat": "area_lat", "lng": "area_lng"})
-    rows = _at(_t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("city")), "c_custkey").join(suppliers, F.col("c_custkey") % 100 == F.col("s_suppkey"))
+    n = suppliers.count()
+    rows = _at(_t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("city")), "c_custkey").join(suppliers, F.col("c_custkey") % n == F.col("s_suppkey") % n)
     return checks.geocode_gate(rows.withColumn("radius_km", F.lit(5000.0))).select("c_custkey", "refused_by")
 
 
-@query("""with e as (select user_id, cast(dayofweek(ts) + 6 as int) % 7 as day, min(ts) as first, count(*) as n from events where user_id < 100000 group by 1, 2), s as (select user_id, day, case when n % 3 = 0 then 'closed' else '10:00-' || (18 + n % 4) || ':00' end as times from e),
+@query("""with e as (select user_id, cast(dayofweek(ts) + 6 as int) % 7 as day, min(ts) as first, count(*) as n from events group by 1, 2), s as (select user_id, day, case when n % 3 = 0 then 'closed' else '10:00-' || (18 + n % 4) || ':00' end as times from e),
  l as (select *, lag(day) over w as pd, lag(times) over w as pt from s window w as (partition by user_id order by day)), r as (select *, sum(case when pd is null or day <> pd + 1 or times <> pt then 1 else 0 end) over (partition by user_id order by day) as run from l),
  g as (select user_id, run, min(day) as f, max(day) as z, count(*) as len, any_value(times) as times from r group by 1, 2), t as (select *, ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'] as d from g)
-select user_id, string_agg(case when f = z then d[f+1] else d[f+1] || '-' || d[z+1] end || ' ' || times, '; ' order by f) as hours from t group by 1 having sum(len) = 7""")
+select user_id, string_agg(case when f = z then d[f+1] else d[f+1] || '-' || d[z+1] end || ' ' || times, '; ' order by f) as hours from t group by 1""")
 def opening_hours(spark, sf):
     days = _t(spark, sf, "events").groupBy("user_id", F.weekday("ts").alias("day")).agg(F.count("*").alias("n"))
     rows = days.select("user_id", "day", F.lit("10:00").alias("opens"), F.concat((18 + F.col("n") % 4).cast("string"), F.lit(":00")).alias("closes"), (F.col("n") % 3 == 0).alias("closed"))
@@ -623,7 +637,7 @@ select c_custkey, arg_min(t.area_id, (instr(text, name), -length(name), t.area_i
 def areas_named(spark, sf):
     nation, region = _t(spark, sf, "nation"), _t(spark, sf, "region")
     areas = nation.select((F.col("n_nationkey") + 100).alias("area_id"), F.col("n_name").alias("name"), (F.col("n_regionkey") + 10).alias("parent"), F.lit(1).alias("depth")).union(region.select(F.col("r_regionkey") + 10, "r_name", F.lit(None).cast("int"), F.lit(0)))
-    rows = _t(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = _t(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     return joins.areas_named(rows.select("c_custkey", F.concat_ws(" / ", "r_name", "n_name", "c_name").alias("text")), "text", areas, "c_custkey")
 
 

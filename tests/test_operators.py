@@ -73,10 +73,11 @@ def test_scripts():
 PRICES = [
     ("HK$6.00 for 3 songs", "HKD", 6.0, "HKD", 3), ("NT$30.00 for 3 songs", "TWD", 30.0, "TWD", 3), ("¥100 / 3 songs (1 player)", "JPY", 100.0, "JPY", 3), ("100Y = 3 songs STANDARD MODE", "JPY", 100.0, "JPY", 3),
     ("1.00€ / 3 songs", "EUR", 1.0, "EUR", 3), ("Rp10.900 / 3 songs", "IDR", 10900.0, "IDR", 3), ("MOP$8 / 2 songs", "MOP", 8.0, "MOP", 2), ("NT$30 / Standard Start / NT$40 / Premium Start", "TWD", 30.0, "TWD", None),
+    ("₩2 500", "KRW", 2500.0, "KRW", None), ("Rp10 000 / 3 songs", "IDR", 10000.0, "IDR", 3), ("30đ", "VND", 30.0, "VND", None), ("R$2 5 hearts", "BRL", 2.0, "BRL", None), ("Welcome Card $3.80 / Platinum $3.25", "NZD", 3.8, "NZD", None),
     ("HK$6 LIGHT START / HK$8 STANDARD START / HK$12 PREMIUM START", "HKD", 8.0, "HKD", None), ("SGD 1.50 for 3 songs / SGD 1.50 to continue", "SGD", 1.5, "SGD", 3), ("HK$6.00 / 3 songs (4 songs if multiplay)", "HKD", 6.0, "HKD", 3),
 ]
 REASONS = [("", None, "empty"), (None, None, "empty"), ("Free Play", "USD", "free_play"), ("2 credits", "USD", "token_system"), ("1 TOKEN = Rp. 2500,00", "IDR", "token_system"), ("cheap", "USD", "no_currency"), ("$5 VIP", "USD", "all_tiers_rejected")]
-COUNTS = [("12 machines", 12), ("Version 5.20, 4 cabinets", 4), ("x2", 2), ("2台", 2), ("10x HG and 2x normal cabinets", 12), ("2 sets of 4 linked cabinets each", 8), ("1 silver cab, 3 gold", 4), ("新筐体2台ノーマルタイプ1台", 3), ("JPN Version. 4 machines", 4), ("100 yen", None), ("Ver. 5.20", None), ("2 songs", None), ("2P", None), ("", None), (None, None), ("1-2 machines", None), ("1台目", None)]
+COUNTS = [("12 machines", 12), ("Version 5.20, 4 cabinets", 4), ("x2", 2), ("2台", 2), ("10x HG and 2x normal cabinets", 12), ("2 sets of 4 linked cabinets each", 8), ("1 silver cab, 3 gold", 4), ("新筐体2台ノーマルタイプ1台", 3), ("JPN Version. 4 machines", 4), ("100 yen", None), ("Ver. 5.20", None), ("2 songs", None), ("2P", None), ("", None), (None, None), ("1-2 machines", None), ("1台目", None), ("The 1st gen cabinet", None)]
 
 
 def test_prices_and_quantities(spark):
@@ -109,9 +110,9 @@ def test_nearest_leaves_out_twins(spark):
 
 
 def test_opening_times(spark):
-    days = [(1, d, "10:00", "22:00", d == 6) for d in range(7)] + [(2, d, "00:00", "00:00", False) for d in range(7)] + [(3, d, "09:00", "10:00", False) for d in range(6)]
+    days = [(1, d, "10:00", "22:00", d == 6) for d in range(7)] + [(2, d, "00:00", "00:00", False) for d in range(7)] + [(3, d, "09:00", "10:00", False) for d in range(6)] + [(4, d, *(("00:00", "00:00") if d == 0 else ("10:00", "22:00")), False) for d in range(7)]
     rows = windows.opening_times(spark.createDataFrame(days, "venue int, day int, opens string, closes string, closed boolean"), "venue").collect()
-    assert [(r.venue, r.hours) for r in rows] == [(1, "Mon-Sat 10:00-22:00; Sun closed")]
+    assert sorted((r.venue, r.hours) for r in rows) == [(1, "Mon-Sat 10:00-22:00; Sun closed"), (3, "Mon-Sat 09:00-10:00"), (4, "Tue-Sun 10:00-22:00")]
 
 
 def test_images(spark):
@@ -151,6 +152,19 @@ def test_readers_and_sinks(spark, tmp_path):
     assert sinks.kml_colour("DB4436") == "ff3644db"
 
 
+def test_names_held_by_texts(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a road to Rome and Romeo"), (2, "Ro"), (3, ""), (4, None), (5, "x Rom y")], "id int, t string")
+    names = spark.createDataFrame([("Rome",), ("Romeo",), ("Ro",), ("R",), ("",), ("y",)], "name string")
+    want = sorted((r.id, r.name) for r in joins.holding(rows, "t", names, "name").collect())
+    monkeypatch.setattr(joins, "SMALL", 0)
+    assert sorted((r.id, r.name) for r in joins.holding(rows, "t", names, "name").collect()) == want and len(want) == 9
+
+
+def test_part_labels(spark):
+    rows = spark.range(800).select(windows.part_label(F.col("id")).alias("p")).collect()
+    assert [rows[k].p for k in (0, 25, 26, 51, 52, 701, 702)] == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA"] and len({r.p for r in rows}) == 800
+
+
 def test_venues(spark):
     units = [
         (1, "allnet", "Round1 Machida", "1 A St X", 35.0, 139.0, "Japan", None, ["g"]), (2, "ziv", "ラウンドワン町田 Round1 Machida", "2", 35.0003, 139.0, "Japan", "https://zenius-i-vanisher.com/arcades/77", ["h"]),
