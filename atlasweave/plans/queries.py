@@ -659,3 +659,6 @@ def parsed_prices(spark, sf):
     """Prices written in many ways, parsed back; the grammar has no SQL form."""
     rows = _t(spark, sf, "part").select("p_partkey", F.element_at(F.array(*[F.format_string(f, F.col("p_size")) for f in ("HK$%d.00 for 3 songs", "NT$%d / Standard Start / NT$90 / Premium Start", "%d tokens", "¥%d / 2 songs")]), (F.col("p_partkey") % 4 + 1).cast("int")).alias("text"), F.element_at(F.array(*map(F.lit, ("HKD", "TWD", "USD", "JPY"))), (F.col("p_partkey") % 4 + 1).cast("int")).alias("local"))
     return rows.withColumn("p", money.price("text", "local")).select("p_partkey", "p.*").withColumn("plausible", money.plausible(F.col("amount"), F.col("currency")))
+
+
+from . import record_queries  # noqa: E402, F401  registers its queries
