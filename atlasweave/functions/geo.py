@@ -125,3 +125,27 @@ def derived_position(key) -> tuple[Column, Column]:
     """A position made from an integer key, the same on every engine: test tables have none of their own."""
     k = _c(key).cast("long")
     return (k * 7919 % 170000) / F.lit(1000.0) - 85, (k * 104729 % 360000) / F.lit(1000.0) - 180
+
+
+#: The published inverse of a provider's Mercator metres, a polynomial for each band of northing (from its lower
+#: end on): two for longitude, seven for latitude, and the unit of the latter.
+MERCATOR_BANDS = (
+    (12890594.86, (1.410526172116255e-8, 0.00000898305509648872, -1.9939833816331, 200.9824383106796, -187.2403703815547, 91.6087516669843, -23.38765649603339, 2.57121317296198, -0.03801003308653, 17337981.2)),
+    (8362377.87, (-7.435856389565537e-9, 0.000008983055097726239, -0.78625201886289, 96.32687599759846, -1.85204757529826, -59.36935905485877, 47.40033549296737, -16.50741931063887, 2.28786674699375, 10260144.86)),
+    (5591021.0, (-3.030883460898826e-8, 0.00000898305509983578, 0.30071316287616, 59.74293618442277, 7.357984074871, -25.38371002664745, 13.45380521110908, -3.29883767235584, 0.32710905363475, 6856817.37)),
+    (3481989.83, (-1.981981304930552e-8, 0.000008983055099779535, 0.03278182852591, 40.31678527705744, 0.65659298677277, -4.44255534477492, 0.85341911805263, 0.12923347998204, -0.04625736007561, 4482777.06)),
+    (1678043.12, (3.09191371068437e-9, 0.000008983055096812155, 0.00006995724062, 23.10934304144901, -0.00023663490511, -0.6321817810242, -0.00663494467273, 0.03430082397953, -0.00466043876332, 2555164.4)),
+    (0.0, (2.890871144776878e-9, 0.000008983055095805407, -3.068298e-8, 7.47137025468032, -0.00000353937994, -0.02145144861037, -0.00001234426596, 0.00010322952773, -0.00000323890364, 826088.5)),
+)
+
+
+def mercator_to_bd(x, y) -> tuple[Column, Column]:
+    """(lat, lng) in the provider's degrees of its Mercator metres: x is the easting, y the northing."""
+    east, north = F.abs(_c(x)), F.abs(_c(y))
+    lat = lng = F.lit(None).cast("double")
+    for lower, (a, b, *powers, unit) in reversed(MERCATOR_BANDS):
+        t, value = north / unit, F.lit(0.0)
+        for p in reversed(powers):
+            value = value * t + F.lit(p)
+        lat, lng = F.when(north >= lower, value).otherwise(lat), F.when(north >= lower, F.lit(a) + F.lit(b) * east).otherwise(lng)
+    return lat * F.when(_c(y) >= 0, 1.0).otherwise(-1.0), lng * F.when(_c(x) >= 0, 1.0).otherwise(-1.0)

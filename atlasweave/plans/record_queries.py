@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import places
-from ..operators import aggregates, records
+from ..functions import labels, places
+from ..operators import aggregates, records, review, windows
+from ..sources import readers, sinks
 from .queries import _at, _lat, _lng, _t, query
 
 _LISTS = "list_filter([case when k % 3 = 0 then 'ziv' end, case when k % 4 = 0 then 'eagate' end, case when k % 5 = 0 then 'allnet' end], lambda x: x is not null) as src, list_filter([case when k % 2 = 0 then 'sdvx' end, case when k % 3 = 1 then 'iidx' end, case when k % 7 = 0 then 'jubeat' end, case when k % 5 < 3 then 'maimai_dx' end, case when k % 5 < 2 then 'chunithm' end, case when k % 5 = 0 then 'ongeki' end, case when k % 11 = 0 then 'dancerush' end], lambda x: x is not null) as games, list_filter([case when k % 6 = 0 then 'sdvx_vm' end], lambda x: x is not null) as cabs"
@@ -140,3 +141,116 @@ def evidence_words(spark, sf):
 def source_differences(spark, sf):
     sets = _t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderstatus").alias("a"), F.collect_set(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise(F.col("o_orderpriority"))).alias("b"))
     return sets.select("id", F.array_sort(records.one_sided(F.col("a"), F.col("b"))).alias("only_one"))
+
+
+# --- review, labels, exports -----------------------------------------------------------------------------------------
+
+
+@query(f"""with v as (select k, n_name, {_LISTS} from (select c_custkey as k, * from customer) join nation on c_nationkey = n_nationkey),
+ r as (select k, case when len(src) = 1 and list_contains(src, 'allnet') and n_name <> 'JAPAN' then 0 when len(games) = 0 then 2 when len(src) = 1 then 3 else 4 end as risk from v)
+select k as id, risk, cast((row_number() over (order by risk, k) - 1) % 16 as int) as shard from r""")
+def review_shards(spark, sf):
+    rows = _tagged(_t(spark, sf, "customer").join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("k"), F.initcap("n_name").alias("country"))).withColumnRenamed("k", "id")
+    return review.review_shards(rows, review.risk_class(F.col("src"), F.col("games"), F.col("country")), "id", 16).select("id", "risk", "shard")
+
+
+@query("""with e as (select user_id, event_id, event_type = 'error' or event_type = 'click' as m, sum(case when event_type in ('error', 'click') then 0 else 1 end) over (partition by user_id order by event_id) as h from events),
+ r as (select *, sum(case when m then 1 else 0 end) over (partition by user_id, h order by event_id) as run from e), s as (select user_id, min(event_id) as stop from r where m and run = 3 group by 1)
+select e.user_id, count(*) as n, max(e.event_id) as last from e left join s on s.user_id = e.user_id where stop is null or event_id <= stop group by 1""")
+def rows_before_abort(spark, sf):
+    events = _t(spark, sf, "events").select("user_id", "event_id", "event_type")
+    kept = review.before_abort(events, ["user_id"], "event_id", F.col("event_type").isin("error", "click"), 3)
+    return kept.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+@query("select o_orderkey from orders where o_orderkey % 10 = 0 or date_diff('day', cast(o_orderdate as date), date '1998-01-01') > 360")
+def stale_checks(spark, sf):
+    rows = _t(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.to_date("o_orderdate")).alias("checked"))
+    return review.stale(rows, "checked", F.lit("1998-01-01").cast("date")).select("o_orderkey")
+
+
+@query("""with p as (select s_suppkey * 11 as id, case when s_suppkey % 3 = 0 then 'AUTOMOBILE' end as seg, case when s_suppkey % 2 = 0 then s_nationkey end as nat from supplier)
+select p.id, case when c_custkey is null then 'add' when (seg is not null and seg <> c_mktsegment) or (nat is not null and nat <> c_nationkey) then 'change' else 'same' end as action,
+ case when c_custkey is not null then list_filter([case when seg is not null and seg <> c_mktsegment then 'seg' end, case when nat is not null and nat <> c_nationkey then 'nat' end], lambda x: x is not null) end as fields from p left join customer on c_custkey = p.id""")
+def changed_records(spark, sf):
+    now = _t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("nat"))
+    new = _t(spark, sf, "supplier").select((F.col("s_suppkey") * 11).alias("id"), F.when(F.col("s_suppkey") % 3 == 0, "AUTOMOBILE").alias("seg"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("nat"))
+    return review.changed(now, new, "id", ["seg", "nat"])
+
+
+@query(f"""with c as (select c_custkey, {_lat('c_custkey')} as lat, {_lng('c_custkey')} as lng from customer), p as (select *, cast(floor((lng + 180) / 360 * (256 * 8 / 60.0::double)) as bigint) as cell_x, sin(radians(greatest(least(lat, 85.05::double), -85.05::double))) as s from c),
+ q as (select *, cast(floor((0.5::double - ln((1 + s) / (1 - s)) / (4 * pi())) * (256 * 8 / 60.0::double)) as bigint) as cell_y from p) select cell_x, cell_y, count(*) as n, round(avg(lat), 6) as lat, round(avg(lng), 6) as lng, bool_or(c_custkey % 50 = 0) as has_big from q group by 1, 2""")
+def map_clusters(spark, sf):
+    rows = _at(_t(spark, sf, "customer").select("c_custkey"), "c_custkey")
+    return review.map_clusters(rows, 3, F.col("c_custkey") % 50 == 0).select("cell_x", "cell_y", "n", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "has_big")
+
+
+@query("""select c_custkey as id, case when n_regionkey % 2 = 0 and n_nationkey < 15 then 'Salut ' || c_name when n_nationkey < 20 then 'Hello ' || c_name else 'greet' || n_nationkey end as said from customer join nation on c_nationkey = n_nationkey""")
+def translated_texts(spark, sf):
+    nation = _t(spark, sf, "nation")
+    key = F.concat(F.lit("greet"), "n_nationkey")
+    texts = nation.where("n_nationkey < 20").select(key.alias("key"), F.lit("en").alias("locale"), F.lit("Hello {who}").alias("text")).union(nation.where("n_nationkey < 15").select(key, F.lit("fr"), F.lit("Salut {who}")))
+    rows = _t(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), key.alias("what"), F.when(F.col("n_regionkey") % 2 == 0, "fr").otherwise("de").alias("lang"), F.create_map(F.lit("who"), F.col("c_name")).alias("values"))
+    return labels.translated(rows, texts, "what", "lang", "said", "values").select("id", "said")
+
+
+@query("""select doc_id, cast(nullif(instr(lower(text), 'the'), 0) - 1 as int) as start, cast(nullif(instr(lower(text), 'the'), 0) + 2 as int) as "end" from documents""")
+def highlights(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", labels.highlighted(F.col("text"), F.lit("THE")).alias("h")).select("doc_id", "h.start", "h.end")
+
+
+@query("""with t as (select p_brand, list_sort(list(distinct p_type)) as tags, min(p_name) as place from part group by 1), l as (select p_brand, p_brand || ' · ' || place || ' · ' || array_to_string(tags[1:3], ', ') || case when len(tags) > 3 then ' +' || (len(tags) - 3) else '' end as line from t)
+select p_brand, case when length(line) <= 40 then line else rtrim(substr(line, 1, 39)) || '…' end as said from l""")
+def page_descriptions(spark, sf):
+    rows = _t(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("tags"), F.min("p_name").alias("place"))
+    return rows.select("p_brand", labels.page_description(F.col("p_brand"), F.col("place"), F.col("tags"), 40, 3).alias("said"))
+
+
+@query("""select p_partkey, list_sort(list_distinct(list_filter([case p_size % 4 when 0 then 'lightning' when 1 then 'gold' end, case p_partkey % 3 when 0 then 'gold' when 1 then 'plain' end], lambda x: x is not null))) as tags from part""")
+def model_tags(spark, sf):
+    one = F.element_at(F.array(*map(F.lit, ("Lightning Model", "20th anniversary GOLD", "n/a", "unknown kind"))), (F.col("p_size") % 4 + 1).cast("int"))
+    two = F.element_at(F.array(*map(F.lit, ("gold cab", "standard", ""))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return _t(spark, sf, "part").select("p_partkey", labels.translated_models(F.concat(one, F.lit(" and "), two), [("lightning", "lightning"), ("gold", "gold"), ("standard", "plain")]).alias("tags"))
+
+
+@query(f"""with v as (select k, {_LISTS} from (select c_custkey as k from customer)) select k as id, case when list_contains(src, 'ziv') and not list_contains(src, 'eagate') then 'Old One' else 'One' end as label, list_filter([case when list_contains(src, 'allnet') then 'allnet' end, case when list_contains(src, 'ziv') then 'ziv' end], lambda x: x is not null) as variants from v""")
+def tag_labels(spark, sf):
+    rows = _tagged(_t(spark, sf, "customer").select(F.col("c_custkey").alias("k")))
+    label = labels.tag_label(F.lit("one"), F.col("src"), {"one": "One"}, [("one", "ziv", "eagate", "Old One")])
+    return rows.select(F.col("k").alias("id"), label.alias("label"), labels.variants_of(F.lit("one"), F.col("src"), [("one", "allnet"), ("one", "ziv"), ("two", "eagate")]).alias("variants"))
+
+
+@query(f"""with v as (select k, {_LISTS} from (select c_custkey as k from customer)) select k as id, case when k % 3 = 0 then 'approximate: city' end as position_caption, case when k % 4 = 0 then 'Mon' else 'hours not recorded' end as hours_caption, case when k % 5 = 0 then null when k % 2 = 0 then 'counts not shown: no evidence' else 'never counted' end as counts_caption, case when len(src) = 1 then 'only ' || src[1] end as provenance_caption from v""")
+def detail_captions(spark, sf):
+    k = F.col("k")
+    rows = _tagged(_t(spark, sf, "customer").select(F.col("c_custkey").alias("k")))
+    said = labels.detail_captions(F.when(k % 3 == 0, "city"), F.when(k % 4 == 0, "Mon").otherwise(""), F.when(k % 5 == 0, F.create_map(F.lit("g"), F.lit(1))), k % 2 == 0, F.col("src"))
+    return rows.select(k.alias("id"), *[c.alias(name) for name, c in said.items()])
+
+
+@query("""select c_custkey as id, c_name as name, '' as address, case when c_custkey % 2 = 0 then printf('%.7f', c_custkey / 1000.0::double) end as lat, case when c_custkey % 2 = 0 then printf('%.7f', c_custkey / 500.0::double) end as lng, 'X' as country, 'a;b' as games, '' as cabinets, c_mktsegment as source from customer""")
+def sheet_rows(spark, sf):
+    k = F.col("c_custkey")
+    rows = _t(spark, sf, "customer").select(k.alias("id"), F.col("c_name").alias("name"), F.lit(None).cast("string").alias("addr"), F.when(k % 2 == 0, k / 1000).alias("lat"), F.when(k % 2 == 0, k / 500).alias("lng"), F.lit("X").alias("country"), F.array(F.lit("a"), F.lit("b")).alias("games"), F.array().cast("array<string>").alias("cabs"), F.array("c_mktsegment").alias("src"))
+    return rows.select("id", F.struct("*").alias("r")).join(sinks.sheet(rows).withColumn("n", F.col("name")), F.col("r.name") == F.col("n")).select("id", *sinks.SHEET)
+
+
+@query("""with o as (select l_orderkey as id, case l_linenumber when 1 then 'one' when 2 then 'two' else 'other' end as tag, sum(cast(l_quantity as bigint)) as n from lineitem where l_orderkey % 7 <> 0 group by 1, 2) select id, list_sort(list(tag || ':' || n)) as counts from o group by 1""")
+def open_shop_counts(spark, sf):
+    shops = _t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("title_id"), F.col("l_quantity").cast("long").alias("quantity"))).alias("games"))
+    out = readers.open_shops(shops, F.col("id") % 7 == 0, {1: "one", 2: "two"})
+    return out.select("id", F.array_sort(F.transform(F.map_entries("counts"), lambda e: F.concat_ws(":", e["key"], e["value"]))).alias("counts"))
+
+
+@query("select n_name, row_number() over (order by n_name) as place from nation")
+def listed_names(spark, sf):
+    rows = windows.dense_ids(_t(spark, sf, "nation").select("n_name", "n_nationkey"), [F.collate("n_name", "zh"), F.col("n_nationkey")], "place")
+    return rows.select("n_name", "place")
+
+
+@query("""with i as (select page_id, url, page_id % 3 as m from pages) select page_id, '/img/' || page_id as url, 1 as rank from i where m = 0 union all select page_id, url, case when m = 0 then 2 else 1 end from i where not regexp_matches(url, '(?i)/(stock|default|placeholder)')""")
+def image_lists(spark, sf):
+    item = lambda url, src: F.struct(url.alias("url"), src.alias("src"), F.lit(None).cast("string").alias("thumb"), F.lit(None).cast("string").alias("credit"))
+    none, own = F.lit(None).cast("string"), F.concat(F.lit("/img/"), "page_id")
+    images = F.array_compact(F.array(F.when(F.col("page_id") % 3 == 0, item(own, none)), item(F.lit("/stock/x"), none), item(none, F.col("url")), item(F.col("url"), none)))
+    return review.image_records(_t(spark, sf, "pages").select("page_id", images.alias("images")), "images", "page_id").select("page_id", "url", F.col("rank").cast("int").alias("rank"))

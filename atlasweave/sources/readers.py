@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo
 from ..functions.text import squeezed, stripped_html
@@ -100,3 +102,47 @@ def rejected(rows: DataFrame, reasons: list[tuple[Column, str]]) -> DataFrame:
 def first_seen(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """Of repeated keys across pages the first row in order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(order))).where("_n = 1").drop("_n")
+
+
+def open_shops(rows: DataFrame, closed: Column, tags: dict[int, str], items: str = "games", row_id: str = "id") -> DataFrame:
+    """Rows that aren't closed, with their items (an array of structs: title_id, quantity) as a map of tag to summed quantity; unknown titles count as other."""
+    known = F.create_map(*[F.lit(x) for pair in tags.items() for x in pair])
+    each = rows.where(~F.coalesce(closed, F.lit(False))).select(row_id, F.explode_outer(items).alias("_i"))
+    counted = each.groupBy(row_id, F.when(F.col("_i").isNotNull(), F.coalesce(F.try_element_at(known, F.col("_i.title_id")), F.lit("other"))).alias("tag")).agg(F.sum("_i.quantity").alias("n"))
+    return counted.groupBy(row_id).agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("tag", "n"))))).alias("counts"))
+
+
+IMAGE_SIZE = T.StructType().add("format", "string").add("width", "integer").add("height", "integer")
+
+
+def header_size(data: bytes | None) -> tuple[str, int, int] | None:
+    """(format, width, height) from the first bytes of a PNG, GIF, JPEG or WebP picture; null for anything else."""
+    if not data:
+        return None
+    big, little = (lambda a, n: int.from_bytes(data[a : a + n], "big")), (lambda a, n: int.from_bytes(data[a : a + n], "little"))
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return "png", big(16, 4), big(20, 4)
+    if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
+        return "gif", little(6, 2), little(8, 2)
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
+        kind = data[12:16]
+        if kind == b"VP8X":
+            return "webp", little(24, 3) + 1, little(27, 3) + 1
+        if kind == b"VP8L":
+            bits = little(21, 4)
+            return "webp", (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+        return ("webp", little(26, 2) & 0x3FFF, little(28, 2) & 0x3FFF) if kind == b"VP8 " else None
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 9 <= len(data) and data[at] == 0xFF:
+        marker = data[at + 1]
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            return "jpeg", big(at + 7, 2), big(at + 5, 2)
+        at += 2 + (0 if marker == 0xFF or 0xD0 <= marker <= 0xD8 else big(at + 2, 2))
+    return None
+
+
+@F.pandas_udf(IMAGE_SIZE)
+def image_size(content: pd.Series) -> pd.DataFrame:
+    """format, width and height of a picture's bytes (of spark.read.format("binaryFile"), or their first kilobytes)."""
+    found = [header_size(None if x is None else bytes(x)) or (None, None, None) for x in content]
+    return pd.DataFrame(found, columns=["format", "width", "height"]).astype({"width": "Int32", "height": "Int32"})

@@ -16,8 +16,25 @@ def csv_columns(rows: DataFrame, arrays: list[str], maps: list[str], positions:
     return rows.withColumns(out)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(rows: DataFrame, path: str, spreadsheet: bool = False) -> None:
+    """CSV files with a header; spreadsheet: each begins with a byte order mark (before the first column's name), as spreadsheets want for UTF-8."""
+    out = rows.withColumnRenamed(rows.columns[0], f"\ufeff{rows.columns[0]}") if spreadsheet else rows
+    out.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+
+
+#: Columns of the table that people download, and what each is made of.
+SHEET = ("name", "address", "lat", "lng", "country", "games", "cabinets", "source")
+
+
+def sheet(rows: DataFrame) -> DataFrame:
+    """The eight columns of SHEET from rows (name, addr, lat, lng, country, games, cabs, src)."""
+    plain = csv_columns(rows, ["games", "cabs", "src"], [])
+    return plain.select(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("addr", F.lit("")).alias("address"), "lat", "lng", F.coalesce("country", F.lit("")).alias("country"), "games", F.col("cabs").alias("cabinets"), F.col("src").alias("source"))
+
+
+def stable_json(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """One JSON text a row (value), keys in alphabetical order and nulls written, rows in order: two exports of one table are the same text."""
+    return rows.orderBy(*order).select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def _escaped(c: Column) -> Column:
