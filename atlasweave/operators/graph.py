@@ -15,7 +15,15 @@ def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path  # noqa: SLF001  for _released()
+    return out
+
+
+def _released(df: DataFrame) -> None:
+    """Deletes a table of _written() that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)  # noqa: SLF001
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
 
 
 def _starred(edges: DataFrame) -> DataFrame:
@@ -36,7 +44,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = _starred(both).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = _starred(large.distinct())
         linked = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = _written(linked.where("a <> b").distinct())
+        last, now = now, _written(linked.where("a <> b").distinct())
+        _released(last)
         digest = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if digest == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

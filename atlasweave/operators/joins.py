@@ -98,14 +98,14 @@ def mutual_nearest(pairs: DataFrame, clusters: DataFrame | None = None) -> DataF
     third unit of a place can join the two that found each other first. Every pass links the nearest pair that is left,
     so the passes end; there is no bound on them.
     """
-    from .graph import _written, components
+    from .graph import _released, _written, components
 
-    pairs = _written(pairs.select("a", "b", "distance_m").where("a <> b").distinct())
+    pairs = pairs.select("a", "b", "distance_m").where("a <> b").distinct()
     if clusters is not None:
         own, other = (clusters.select(F.col("unit_id").alias(c), F.col("cluster_id").alias(f"k_{c}")) for c in "ab")
         left = _written(pairs.join(own, "a").join(other, "b"))
     else:
-        left = pairs.withColumns({"k_a": F.col("a"), "k_b": F.col("b")})
+        left = _written(pairs.withColumns({"k_a": F.col("a"), "k_b": F.col("b")}))
     found = None
     while True:
         open_pairs = left.where("k_a <> k_b")
@@ -116,7 +116,8 @@ def mutual_nearest(pairs: DataFrame, clusters: DataFrame | None = None) -> DataF
         label = components(best.select(F.col("k_a").alias("a"), F.col("k_b").alias("b")))
         own, other = (label.select(F.col("node").alias(f"k_{c}"), F.col("component").alias(f"n_{c}")) for c in "ab")
         moved = open_pairs.join(own, "k_a", "left").join(other, "k_b", "left")
-        left = _written(moved.select("a", "b", "distance_m", F.coalesce("n_a", "k_a").alias("k_a"), F.coalesce("n_b", "k_b").alias("k_b")))
+        last, left = left, _written(moved.select("a", "b", "distance_m", F.coalesce("n_a", "k_a").alias("k_a"), F.coalesce("n_b", "k_b").alias("k_b")))
+        _released(last)
 
 
 def key_lookup(rows: DataFrame, keys: Column, table: DataFrame, table_key: str, value: str, row_id: str) -> DataFrame:
@@ -181,12 +182,11 @@ def one_per_group(edges: DataFrame, clusters: DataFrame, order: list[Column]) ->
     of its two clusters, so all edges that are the first of both are settled together, round by round: no cluster, and no
     component, comes to one task. order must tell all edges apart.
     """
-    from .graph import _written
+    from .graph import _released, _written
 
     names = edges.columns
-    left = _written(edges.withColumns({"_o": F.struct(*order), "_ka": F.col("a_cluster"), "_kb": F.col("b_cluster")}))
+    left = _written(edges.withColumns({"_o": F.struct(*order), "_ka": F.col("a_cluster"), "_kb": F.col("b_cluster")}).where("_ka <> _kb"))
     held, taken = clusters.select("cluster_id", "members"), None
-    left = left.where("_ka <> _kb")
     while True:
         ends = left.select(F.explode(F.array("_ka", "_kb")).alias("_k"), "_o").groupBy("_k").agg(F.min("_o").alias("_first"))
         mine, theirs = (ends.select(F.col("_k").alias(f"_k{p}"), F.col("_first").alias(f"_f{p}")) for p in "ab")
@@ -203,7 +203,8 @@ def one_per_group(edges: DataFrame, clusters: DataFrame, order: list[Column]) ->
         rest = left.join(judged.select(F.col("_o").alias("_done")), F.col("_o") == F.col("_done"), "left_anti")
         own, there = (label.select(F.col("node").alias(f"_k{p}"), F.col("component").alias(f"_n{p}")) for p in "ab")
         rest = rest.join(own, "_ka", "left").join(there, "_kb", "left")
-        left = _written(rest.select(*names, "_o", F.coalesce("_na", "_ka").alias("_ka"), F.coalesce("_nb", "_kb").alias("_kb")).where("_ka <> _kb"))
+        last, left = left, _written(rest.select(*names, "_o", F.coalesce("_na", "_ka").alias("_ka"), F.coalesce("_nb", "_kb").alias("_kb")).where("_ka <> _kb"))
+        _released(last)
         now = held.join(label, held.cluster_id == label.node, "left").select(F.coalesce("component", "cluster_id").alias("cluster_id"), "members")
         held = _written(now.groupBy("cluster_id").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("members")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,11 +27,16 @@ def session(name: str = "atlasweave", **settings: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a session on one machine (as in tests) gets a folder of its own where that is unset."""
+    """``spark.checkpoint.dir``; a session on one machine (as in tests) gets a folder of its own, which goes at exit, where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return _OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='atlasweave-')}")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        folder = tempfile.mkdtemp(prefix="atlasweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN[app] = f"file://{folder}"
+    return _OWN[app]
