@@ -149,3 +149,17 @@ def mercator_to_bd(x, y) -> tuple[Column, Column]:
             value = value * t + F.lit(p)
         lat, lng = F.when(north >= lower, value).otherwise(lat), F.when(north >= lower, F.lit(a) + F.lit(b) * east).otherwise(lng)
     return lat * F.when(_c(y) >= 0, 1.0).otherwise(-1.0), lng * F.when(_c(x) >= 0, 1.0).otherwise(-1.0)
+
+
+#: Fixed value: the box that the shifted datum is used in (south, north, west, east).
+SHIFTED_BOX = (0.8293, 55.8271, 72.004, 137.8347)
+
+
+def outside_shift(lat, lng) -> Column:
+    """Whether a position lies outside the box of the shifted datum; null positions do."""
+    return ~F.coalesce(in_box(lat, lng, *SHIFTED_BOX), F.lit(False))
+
+
+def projected_to_wgs(x, y) -> tuple[Column, Column]:
+    """(lat, lng) in WGS-84 of a provider's Mercator metres."""
+    return bd_to_wgs(*mercator_to_bd(x, y))

@@ -120,3 +120,26 @@ def street_signature(addr: Column) -> Column:
     numbers = F.filter(F.transform(each, lambda w, i: F.when(w.rlike("^[0-9]+$"), i)), lambda i: i.isNotNull())
     at = F.get(numbers, F.lit(0))
     return F.when(F.size(each) >= at + 3, F.array_join(F.slice(each, at + 1, F.lit(3)), " "))
+
+
+#: Phrases that say a venue is closed for good, that it may come back (which outweighs them), and what is counted.
+CLOSED = ("permanently closed", "closed down", "closed for good", "closed permanently", "no longer open", "no longer in business", "no longer in operation", "ceased trading", "out of business", "已关闭", "已停业", "停止营业")
+NOT_CLOSED = ("reopen", "re-open", "renovat", "refurbish", "装修中", "筹备", "搬迁", "temporar", "network offline", "已断网", "离线", "merge_into", "duplicate")
+COUNTED = ("machine", "cab", "cabinet", "unit", "seat")
+
+
+def _any_phrase(text: Column, phrases: tuple[str, ...]) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(low, p))
+
+
+def closed_for_good(text: Column) -> Column:
+    """Whether a text says that a venue is closed for good; one that may reopen, moves or is only offline is not."""
+    return _any_phrase(text, CLOSED) & ~_any_phrase(text, NOT_CLOSED)
+
+
+def quotes_quantity(text: Column) -> Column:
+    """Whether a text states a number of machines: 4 cabinets, cabs: 3, x2, 3台."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    things = rf"\b(?:{'|'.join(COUNTED)})s?\b"
+    return low.rlike(rf"\b[0-9]+\s*{things}") | low.rlike(rf"\b(?:{'|'.join(COUNTED[:3])})s?\b\s*[:-]?\s*[0-9]+") | low.rlike(r"(?:\b|\(\s*)[x×]\s*[0-9]+\b") | low.rlike("[0-9]+\\s*(?:台|個)")

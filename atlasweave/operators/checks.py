@@ -26,12 +26,12 @@ def validated_positions(rows: DataFrame, boxes: DataFrame, official: Column, row
     return out.withColumns({"country": moved, **{c: F.when(F.col("action") == "null_position", None).otherwise(F.col(c)) for c in ("lat", "lng")}}).drop("_in", "_first")
 
 
-def placed(rows: DataFrame, areas: DataFrame, area: str = "area_id") -> DataFrame:
-    """Rows without a position get their area's centre, marked with its level; others stay."""
+def placed(rows: DataFrame, areas: DataFrame, area: str = "area_id", guarded: Column | None = None) -> DataFrame:
+    """Rows without a position get their area's centre, marked with its level; others stay, and so do rows for which guarded holds (as those of territories that the areas aren't of)."""
     centre = areas.select(area, F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), F.col("level").alias("_level"))
     out = rows.join(centre, area, "left")
-    use = F.col("lat").isNull() & F.col("_lat").isNotNull()
-    return out.withColumns({"approx": use, "approx_level": F.when(use, F.col("_level")), "lat": F.coalesce("lat", "_lat"), "lng": F.coalesce("lng", "_lng")}).drop("_lat", "_lng", "_level")
+    use = F.col("lat").isNull() & F.col("_lat").isNotNull() & (~F.coalesce(guarded, F.lit(False)) if guarded is not None else F.lit(True))
+    return out.withColumns({"approx": use, "approx_level": F.when(use, F.col("_level")), "lat": F.when(use, F.col("_lat")).otherwise(F.col("lat")), "lng": F.when(use, F.col("_lng")).otherwise(F.col("lng"))}).drop("_lat", "_lng", "_level")
 
 
 def judged_corrections(proposals: DataFrame, rows: DataFrame, row_id: str = "id", least_gain_m: float = 2000.0) -> DataFrame:
@@ -93,3 +93,38 @@ def geocode_gate(candidates: DataFrame, slack_km: float = 60.0) -> DataFrame:
     distance = geo.haversine("lat", "lng", "area_lat", "area_lng", geo.RADIUS_KM)
     gate = F.when(~geo.valid("lat", "lng"), "position").when(F.col("area_lat").isNotNull() & (distance > F.col("radius_km") + slack_km), "distance").when(F.col("area_city").isNotNull() & F.col("city").isNotNull() & (F.instr("city", F.col("area_city")) == 0) & (F.instr("area_city", F.col("city")) == 0), "city")
     return candidates.withColumn("refused_by", gate)
+
+
+def gate_counts(rows: DataFrame, reason: str, group: list[str] | None = None) -> DataFrame:
+    """How many rows each gate refused, and how many passed (reason "passed"); by group, if given."""
+    return rows.groupBy(*(group or []), F.coalesce(F.col(reason), F.lit("passed")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+#: Evidence that somebody asserted a number.
+ASSERTED = ("bemanicn_qty", "ziv_comment", "community_qty")
+
+
+def evidence_distribution(rows: DataFrame, evidence: str = "count_evidence", source: str = "counts_src", models: str = "cab_models") -> DataFrame:
+    """One pass over rows: how many have counts of each class of evidence (a row is in every class that it has, so classes overlap), in any asserted one, in listed ones alone, and models.
+
+    evidence: a map of tag to evidence; models: a map.
+    """
+    has = lambda *words: F.arrays_overlap(F.map_values(F.coalesce(evidence, F.create_map().cast("map<string,string>"))), F.array(*map(F.lit, words)))
+    some = F.size(F.coalesce(evidence, F.create_map().cast("map<string,string>"))) > 0
+    classes = {**{w: has(w) for w in ASSERTED}, "any_real": has(*ASSERTED), "ziv_listed_only": some & ~has(*ASSERTED), "cab_models": F.size(F.coalesce(models, F.create_map().cast("map<string,int>"))) > 0, "no_source": F.col(source).isNull()}
+    counts = rows.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in classes.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("class"), F.col(n).alias("n")) for n in classes])).alias("v")).select("v.*")
+
+
+def dangling(feed: DataFrame, rows: DataFrame, url: str, links: str, pattern: str) -> DataFrame:
+    """Rows of feed whose page (the id that pattern finds in url) no row links to, in any of its links (an array); the report of a join that should be whole."""
+    known = rows.select(F.explode(links).alias("_u")).select(F.regexp_extract("_u", pattern, 1).alias("_id")).where("_id <> ''").distinct()
+    return feed.withColumn("_id", F.regexp_extract(url, pattern, 1)).join(known, "_id", "left_anti").drop("_id")
+
+
+def best_candidates(candidates: DataFrame, key: str, row_id: str) -> DataFrame:
+    """Of each key the best candidate (grade, distance_m, similarity): by grade (high, medium, low; a rejected one never), the nearer, the more alike, the smaller id."""
+    grade = F.when(F.col("grade") == "high", 0).when(F.col("grade") == "medium", 1).when(F.col("grade") == "low", 2)
+    others = [c for c in candidates.columns if c != key]
+    best = candidates.where(grade.isNotNull()).groupBy(key).agg(F.min_by(F.struct(*others), F.struct(grade, F.col("distance_m"), -F.col("similarity"), F.col(row_id))).alias("_b"))
+    return best.select(key, "_b.*")

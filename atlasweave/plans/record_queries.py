@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import labels, places
-from ..operators import aggregates, records, review, windows
-from ..sources import readers, sinks
+from ..functions import labels, places, text
+from ..operators import aggregates, checks, records, review, windows
+from ..sources import geocoders, readers, sinks
 from .queries import _at, _lat, _lng, _t, query
 
 _LISTS = "list_filter([case when k % 3 = 0 then 'ziv' end, case when k % 4 = 0 then 'eagate' end, case when k % 5 = 0 then 'allnet' end], lambda x: x is not null) as src, list_filter([case when k % 2 = 0 then 'sdvx' end, case when k % 3 = 1 then 'iidx' end, case when k % 7 = 0 then 'jubeat' end, case when k % 5 < 3 then 'maimai_dx' end, case when k % 5 < 2 then 'chunithm' end, case when k % 5 = 0 then 'ongeki' end, case when k % 11 = 0 then 'dancerush' end], lambda x: x is not null) as games, list_filter([case when k % 6 = 0 then 'sdvx_vm' end], lambda x: x is not null) as cabs"
@@ -254,3 +254,60 @@ def image_lists(spark, sf):
     none, own = F.lit(None).cast("string"), F.concat(F.lit("/img/"), "page_id")
     images = F.array_compact(F.array(F.when(F.col("page_id") % 3 == 0, item(own, none)), item(F.lit("/stock/x"), none), item(none, F.col("url")), item(F.col("url"), none)))
     return review.image_records(_t(spark, sf, "pages").select("page_id", images.alias("images")), "images", "page_id").select("page_id", "url", F.col("rank").cast("int").alias("rank"))
+
+
+# --- checks and pickings ---------------------------------------------------------------------------------------------
+
+
+@query("""select doc_id, (contains(lower(text), 'no longer open') or contains(lower(text), 'closed down')) and not contains(lower(text), 'temporar') as closed, regexp_matches(lower(text), '\\b[0-9]+\\s*(machine|cab|cabinet|unit|seat)s?\\b') as counted from (select doc_id, case doc_id % 5 when 0 then 'No longer open' when 1 then 'closed down, temporarily' when 2 then '4 cabinets' when 3 then '4 songs' else coalesce(lang, '') end as text from documents)""")
+def said_states(spark, sf):
+    said = F.element_at(F.array(F.lit("No longer open"), F.lit("closed down, temporarily"), F.lit("4 cabinets"), F.lit("4 songs"), F.coalesce("lang", F.lit(""))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return _t(spark, sf, "documents").select("doc_id", text.closed_for_good(said).alias("closed"), text.quotes_quantity(said).alias("counted"))
+
+
+@query("""with e as (select o_orderkey as k, o_orderkey % 4 as m, o_orderkey % 6 as q from orders), c as (select *, m = 0 as a, q = 0 as b from e)
+select 'bemanicn_qty' as class, count(*) filter (where a) as n from c union all select 'ziv_comment', count(*) filter (where b) from c union all select 'community_qty', 0 from c group by 1 union all select 'any_real', count(*) filter (where a or b) from c union all select 'ziv_listed_only', count(*) filter (where m = 1 and not b) from c union all select 'cab_models', count(*) filter (where k % 9 = 0) from c union all select 'no_source', count(*) filter (where k % 2 = 0) from c""")
+def evidence_classes(spark, sf):
+    k = F.col("o_orderkey")
+    pairs = F.array_compact(F.array(F.when(k % 4 == 0, F.struct(F.lit("a").alias("k"), F.lit("bemanicn_qty").alias("v"))), F.when(k % 4 == 1, F.struct(F.lit("b").alias("k"), F.lit("ziv_listed").alias("v"))), F.when(k % 6 == 0, F.struct(F.lit("c").alias("k"), F.lit("ziv_comment").alias("v")))))
+    rows = _t(spark, sf, "orders").select(F.map_from_entries(pairs).alias("count_evidence"), F.when(k % 2 != 0, "s").alias("counts_src"), F.when(k % 9 == 0, F.create_map(F.lit("m"), F.lit(1))).alias("cab_models"))
+    return checks.evidence_distribution(rows)
+
+
+@query("""select p_brand, case when p_size < 10 then 'small' when p_retailprice > 1500 then 'dear' else 'passed' end as reason, count(*) as n from part group by 1, 2""")
+def gate_counters(spark, sf):
+    rows = readers.rejected(_t(spark, sf, "part"), [(F.col("p_size") < 10, "small"), (F.col("p_retailprice") > 1500, "dear")])
+    return checks.gate_counts(rows, "reject_reason", ["p_brand"])
+
+
+@query("""select page_id from pages where regexp_extract(url, '/([0-9]+)$', 1) not in (select cast(s_suppkey as varchar) from supplier where s_suppkey % 3 = 0 union select cast(c_custkey as varchar) from customer where c_custkey % 2 = 0) or page_id % 4 = 0""")
+def dangling_pages(spark, sf):
+    url = F.when(F.col("page_id") % 4 != 0, F.col("url")).otherwise("https://x.example/none/0000000")
+    feed = _t(spark, sf, "pages").select("page_id", url.alias("url"))
+    link = lambda t, k, m: _t(spark, sf, t).where(F.col(k) % m == 0).select(F.array(F.concat(F.lit("https://y.example/a/"), k), F.lit("https://y.example/about")).alias("links"))
+    return checks.dangling(feed, link("supplier", "s_suppkey", 3).union(link("customer", "c_custkey", 2)), "url", "links", r"/([0-9]+)$").select("page_id")
+
+
+@query("""with c as (select l_orderkey as k, l_linenumber as id, case when l_quantity > 40 then 'high' when l_quantity > 20 then 'medium' when l_quantity > 5 then 'low' else 'reject' end as grade, l_extendedprice as d, l_discount as s from lineitem) select k, arg_min(id, (case grade when 'high' then 0 when 'medium' then 1 else 2 end, d, -s, id)) as id from c where grade <> 'reject' group by 1""")
+def best_candidates(spark, sf):
+    grade = F.when(F.col("l_quantity") > 40, "high").when(F.col("l_quantity") > 20, "medium").when(F.col("l_quantity") > 5, "low").otherwise("reject")
+    rows = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("id"), grade.alias("grade"), F.col("l_extendedprice").alias("distance_m"), F.col("l_discount").alias("similarity"))
+    return checks.best_candidates(rows, "k", "id").select("k", "id")
+
+
+@query("""with p as (select user_id % 40 as listing, event_type, user_id, cast(1 + event_id % 6 as int) as page from events), f as (select listing, event_type, user_id, min(page) as page from p group by 1, 2, 3), s as (select listing, min(page) as stop from (select distinct listing, page from p except select distinct listing, page from f) group by 1)
+select f.* from f left join s on s.listing = f.listing where stop is null or page < stop""")
+def listing_pages(spark, sf):
+    rows = _t(spark, sf, "events").select((F.col("user_id") % 40).alias("listing"), "event_type", "user_id", (1 + F.col("event_id") % 6).cast("int").alias("page"))
+    return readers.pages_until_known(rows, "listing", "page", ["event_type", "user_id"])
+
+
+@query(f"""with r as (select c_custkey as id, 'a' || (c_custkey % 60) as addr, case when c_custkey % 3 = 0 then 10.0::double when c_custkey % 3 = 1 then 11.0::double end as lat, c_custkey % 3 = 0 as approx from customer), c as (select 'a' || s_suppkey as addr, case when s_suppkey % 4 <> 0 then 20.0::double + s_suppkey % 30 end as lat from supplier)
+select id, case when not approx and r.lat is not null then r.lat when c.lat between 20 and 40 then c.lat end as lat, coalesce((approx or r.lat is null) and c.lat between 20 and 40, false) as from_cache from r left join c on c.addr = r.addr""")
+def refreshed_cache(spark, sf):
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    lat = F.when(k % 3 == 0, 10.0).when(k % 3 == 1, 11.0)
+    rows = _t(spark, sf, "customer").select(k.alias("id"), F.concat(F.lit(" A"), k % 60).alias("addr"), lat.alias("lat"), lat.alias("lng"), (k % 3 == 0).alias("approx"))
+    answer = F.when(s % 4 != 0, 20.0 + s % 30)
+    cache = _t(spark, sf, "supplier").select(F.concat(F.lit("a"), s).alias("addr_key"), answer.alias("lat"), answer.alias("lng"))
+    return geocoders.refreshed(rows, cache, box=(20.0, 40.0, 0.0, 90.0)).select("id", "lat", "from_cache")

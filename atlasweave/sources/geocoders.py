@@ -47,10 +47,19 @@ def work_list(rows: DataFrame, asked: DataFrame, addr: str = "addr", key: str =
     return own.join(asked.select(key), key, "left_anti").groupBy(key).agg(F.min(addr).alias("address"), F.count("*").alias("rows"))
 
 
-def from_cache(rows: DataFrame, cache: DataFrame, addr: str = "addr", key: str = "addr_key") -> DataFrame:
-    """rows with positions from a cache of answers (key, lat, lng; misses have none), where they had none; from_cache says which."""
+def from_cache(rows: DataFrame, cache: DataFrame, addr: str = "addr", key: str = "addr_key", box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """rows with positions from a cache of answers (key, lat, lng; misses have none), where they had none; from_cache says which.
+
+    Answers are checked again as they are read: one outside box (south, north, west, east) is none, whoever wrote it.
+    """
     answers = cache.select(F.col(key).alias("_k"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
     keyed = rows.withColumn("_key", F.lower(F.regexp_replace(F.trim(F.coalesce(addr, F.lit(""))), r"\s+", " ")))
     out = keyed.join(answers, keyed["_key"] == answers["_k"], "left")
-    use = ~geo.valid("lat", "lng") & geo.valid("_lat", "_lng")
+    use = ~geo.valid("lat", "lng") & geo.valid("_lat", "_lng") & (F.coalesce(geo.in_box("_lat", "_lng", *box), F.lit(False)) if box else F.lit(True))
     return out.withColumns({"from_cache": use, "lat": F.when(use, F.col("_lat")).otherwise(F.col("lat")), "lng": F.when(use, F.col("_lng")).otherwise(F.col("lng"))}).drop("_key", "_k", "_lat", "_lng")
+
+
+def refreshed(rows: DataFrame, cache: DataFrame, approx: str = "approx", **options) -> DataFrame:
+    """What a fresh cache would change: rows as they would be if all approximate positions were taken away and looked up again."""
+    bare = rows.withColumns({c: F.when(~F.coalesce(approx, F.lit(False)), F.col(c)) for c in ("lat", "lng")})
+    return from_cache(bare, cache, **options)

@@ -146,3 +146,19 @@ def image_size(content: pd.Series) -> pd.DataFrame:
     """format, width and height of a picture's bytes (of spark.read.format("binaryFile"), or their first kilobytes)."""
     found = [header_size(None if x is None else bytes(x)) or (None, None, None) for x in content]
     return pd.DataFrame(found, columns=["format", "width", "height"]).astype({"width": "Int32", "height": "Int32"})
+
+
+def pages_until_known(pages: DataFrame, listing: str, page: str, key: list[str], declared: str | None = None) -> DataFrame:
+    """Rows of each listing up to the page before the first that brings no new key, each key once at its first page; with as many as the listing declares at most, if it says.
+
+    pages: one row for each entry of a page (numbered from 1). Listings that go round their last page end where they do.
+    """
+    first = pages.groupBy(listing, *key).agg(F.min(page).alias(page), *([F.max(declared).alias(declared)] if declared else []))
+    fresh = first.groupBy(listing, page).agg(F.count("*").alias("_new"))
+    seen = pages.select(listing, page).distinct().join(fresh, [listing, page], "left")
+    stop = seen.where("_new is null").groupBy(listing).agg(F.min(page).alias("_stop"))
+    kept = first.join(stop, listing, "left").where(F.col("_stop").isNull() | (F.col(page) < F.col("_stop"))).drop("_stop")
+    if not declared:
+        return kept
+    placed = kept.withColumn("_n", F.row_number().over(Window.partitionBy(listing).orderBy(page, *key)))
+    return placed.where(F.col(declared).isNull() | (F.col("_n") <= F.col(declared))).drop("_n")
