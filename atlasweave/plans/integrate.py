@@ -17,6 +17,7 @@ from ..functions import scripts
 from ..functions.identity import stable_key
 from ..functions.text import bigrams, common_prefix, dice, folded, street_signature, with_name_keys, with_similarity
 from ..operators import aggregates, graph, joins, windows
+from . import two_scripts
 
 NEAR_M, NEAR_SIMILARITY = 120.0, 0.6
 LOCAL_M, BRANCH_M, DUPLICATE_M = 3000.0, 600.0, 30.0
@@ -267,11 +268,14 @@ def prepared(units: DataFrame) -> DataFrame:
     return graph._written(with_name_keys(units.withColumns(missing)))
 
 
-def linked(units: DataFrame) -> DataFrame:
-    """All edges (a, b, tier) of all tiers of prepared() units, in their order."""
+def linked(units: DataFrame, readings: dict[str, list[str]] | None = None) -> DataFrame:
+    """All edges (a, b, tier) of all tiers of prepared() units, in their order. readings: sounds of Chinese characters, for the tier of two scripts, which needs them."""
     ids = units.select("unit_id")
     found, clusters = None, ids.withColumn("cluster_id", F.col("unit_id"))
-    for tier in TIERS:
+    tiers = list(TIERS)
+    if readings:
+        tiers.insert(tiers.index(best_in_province), lambda own, label: two_scripts.same_place(own, label, readings))
+    for tier in tiers:
         if tier not in BLIND and found is not None:
             clusters = graph._written(graph.labelled(ids, found.select("a", "b")))
         own = graph._written(tier(units, clusters))
@@ -279,10 +283,10 @@ def linked(units: DataFrame) -> DataFrame:
     return found
 
 
-def venues(units: DataFrame) -> DataFrame:
+def venues(units: DataFrame, readings: dict[str, list[str]] | None = None) -> DataFrame:
     """One row for each venue, with what its units say together, a stable key and a dense id."""
     own = prepared(units)
-    clustered = graph.labelled(own, linked(own).select("a", "b"))
+    clustered = graph.labelled(own, linked(own, readings).select("a", "b"))
     lead = aggregates.survivors(clustered.select("cluster_id", "unit_id", "source", "name", "addr", "lat", "lng", "country", "source_url"), "cluster_id", priority(F.col("source")))
     sets = clustered.groupBy("cluster_id").agg(F.array_sort(F.collect_set("source")).alias("src"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("games")))).alias("games"))
     sid = stable_key(F.col("source_url"), [("z", r"zenius[^/]*/arcades?/(\d+)"), ("b", r"bemanicn\.[a-z]+/s/(\d+)")], [F.col("country"), F.col("name"), F.col("addr")])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from atlasweave.functions import scripts, text
 from atlasweave.operators import graph, joins
-from atlasweave.plans import integrate
+from atlasweave.plans import integrate, two_scripts
 
 UNIT = "unit_id long, source string, name string, addr string, lat double, lng double, country string, source_url string, games array<string>"
 
@@ -154,6 +154,24 @@ def test_street_signatures(spark, addr, want):
     assert spark.createDataFrame([(addr,)], "a string").select(text.street_signature(F.col("a")).alias("s")).first().s == want
 
 
+#: Sounds of the characters of the cases.
+READINGS = {"觀": ["gun"], "塘": ["tong"], "道": ["dou"], "洗": ["sai"], "衣": ["ji"], "街": ["gaai"], "旺": ["wong"], "角": ["gok"], "沙": ["saa"], "田": ["tin"], "佐": ["zo"], "敦": ["deon"]}
+
+
+def test_clusters_in_two_scripts(spark):
+    rows = [
+        (1, "allnet", "SAI GAME PALACE", "2/F, 39 Sai Yee Street, Mong Kok", 22.31, 114.17, "Hong Kong"), (2, "bemanicn", "洗衣街機鋪", "旺角洗衣街39號", None, None, "Hong Kong"),  # street and number
+        (3, "allnet", "APM CORNER", "418 Kwun Tong Road", 22.3, 114.2, "Hong Kong"), (4, "bemanicn", "金沙", "觀塘道410號", None, None, "Hong Kong"),  # one street, other numbers: never
+        (5, "ziv", "FUNTASTIC ZONE", "Sha Tin Centre", 22.38, 114.19, "Hong Kong"), (6, "bemanicn", "FUNTASTIC ZONE 遊戲", "沙田某處", None, None, "Hong Kong"),  # place and brand
+        (7, "ziv", "SOLO BRAND HALL", "x", None, None, "Hong Kong"), (8, "bemanicn", "SOLO BRAND HALL", "y", None, None, "Macau"), (9, "bemanicn", "無關", "佐敦", None, None, "Hong Kong"),
+    ]
+    df = units(spark, rows)
+    clusters = df.select("unit_id", F.col("unit_id").alias("cluster_id"))
+    assert pairs(two_scripts.same_place(df, clusters, READINGS)) == [(1, 2), (5, 6)]
+    kinds = {(r.a, r.b): (set(r.kinds), r.veto) for r in two_scripts.common_clues(two_scripts.with_clues(df.select(F.col("unit_id").alias("cluster_id"), "addr", "name"), READINGS)).collect()}
+    assert kinds[1, 2][0] >= {"street", "number"} and kinds[3, 4][1] and {"place", "brand"} <= kinds[5, 6][0]
+
+
 def test_whole_integration(spark):
     """Every tier in one table; a unit that only looks alike stays alone."""
     rows = [
