@@ -641,9 +641,11 @@ def areas_named(spark, sf):
     return joins.areas_named(rows.select("c_custkey", F.concat_ws(" / ", "r_name", "n_name", "c_name").alias("text")), "text", areas, "c_custkey")
 
 
-@query("")
+@query(f"""with u as (select 1 as o, 'ziv' as source, c_custkey as k, c_nationkey as n, {_lat('c_custkey')} as lat, {_lng('c_custkey')} as lng from customer union all select 0, 'allnet', s_suppkey * 7, s_nationkey, {_lat('s_suppkey * 7')} + 0.0003::double, {_lng('s_suppkey * 7')} from supplier),
+ v as (select 'Venue ' || (k % 400) as name, k || ' Main Street Block' as addr, 'C' || arg_min(n, o) as country, null::varchar as source_url, arg_min(lat, o) as lat, arg_min(lng, o) as lng, count(*) as members, list_sort(list(source)) as src, ['g' || (k % 5)] as games from u group by k)
+select *, 'h' || substr(sha1(lower(country || '|' || name || '|' || addr)), 1, 10) as sid, row_number() over (order by country, lower(name), addr) as id from v""")
 def integrated_venues(spark, sf):
-    """The whole integration over units made of customers and suppliers; its tiers have no SQL form in bounded time."""
+    """The whole integration over units made of customers and suppliers. Each supplier stands 33 m beside the customer of its name; the SQL says which venues must come of it."""
     customers = _t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("Venue "), F.col("c_custkey") % 400).alias("name"), F.col("c_nationkey").alias("n"))
     suppliers = _t(spark, sf, "supplier").select((F.col("s_suppkey") * 7).alias("k"), F.concat(F.lit("Venue "), F.col("s_suppkey") * 7 % 400).alias("name"), F.col("s_nationkey").alias("n"))
     rows = None
@@ -654,9 +656,10 @@ def integrated_venues(spark, sf):
     return integrate.venues(rows).drop("cluster_id")
 
 
-@query("")
+@query("""select p_partkey, case when p_partkey % 4 <> 2 then p_size::double end as amount, case p_partkey % 4 when 0 then 'HKD' when 1 then 'TWD' when 3 then 'JPY' end as currency, case p_partkey % 4 when 0 then 'plain' when 1 then 'base' when 3 then 'plain' end as tier, case p_partkey % 4 when 0 then 3 when 3 then 2 end as songs, case when p_partkey % 4 = 2 then 'token_system' end as reason,
+ case p_partkey % 4 when 0 then p_size between 2 and 50 when 1 then p_size between 5 and 200 when 3 then p_size between 50 and 600 else false end as plausible from part""")
 def parsed_prices(spark, sf):
-    """Prices written in many ways, parsed back; the grammar has no SQL form."""
+    """Prices written in several ways, parsed back; the SQL says what they were written from."""
     rows = _t(spark, sf, "part").select("p_partkey", F.element_at(F.array(*[F.format_string(f, F.col("p_size")) for f in ("HK$%d.00 for 3 songs", "NT$%d / Standard Start / NT$90 / Premium Start", "%d tokens", "¥%d / 2 songs")]), (F.col("p_partkey") % 4 + 1).cast("int")).alias("text"), F.element_at(F.array(*map(F.lit, ("HKD", "TWD", "USD", "JPY"))), (F.col("p_partkey") % 4 + 1).cast("int")).alias("local"))
     return rows.withColumn("p", money.price("text", "local")).select("p_partkey", "p.*").withColumn("plausible", money.plausible(F.col("amount"), F.col("currency")))
 
