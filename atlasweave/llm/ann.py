@@ -192,7 +192,7 @@ def build(vectors: np.ndarray, seed: int = 1) -> Graph:
 # --- the operator --------------------------------------------------------------------------------------------------
 
 GRAPH = "n int, scale double, members binary, vectors binary, layers array<struct<nodes:binary,neighbours:binary>>"
-STORED = f"dim int, shard int, {GRAPH}"
+STORED = f"dim int, shard int, place int, {GRAPH}"
 #: Cells of the table of seen nodes that a search holds.
 SEEN = 25_000_000
 
@@ -231,9 +231,17 @@ def index(rows: DataFrame, k: int, shard: int | None = None) -> DataFrame:
     nodes = materialise(nodes.select("v", "ids", F.size("v").alias("dim"), F.xxhash64("v", F.lit(4)).alias("key")), "nodes")
     size = shard_size(F.col("count")) if shard is None else F.lit(shard)
     shards = nodes.groupBy("dim").count().select("dim", F.greatest(F.lit(1), F.round(F.col("count") / size)).cast("long").alias("shards"))
+    before = Window.orderBy("dim").rowsBetween(Window.unboundedPreceding, -1)  # a row for each length of vector
+    shards = materialise(shards.withColumn("before", F.coalesce(F.sum("shards").over(before), F.lit(0))), "shards")
+    total = shards.agg(F.sum("shards")).first()[0] or 1
 
-    def run(key: tuple, own: pa.Table) -> pa.Table:
-        dim, number = (x.as_py() for x in key)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:  # one shard
+            yield from built(pa.Table.from_batches(held)).to_batches()
+
+    def built(own: pa.Table) -> pa.Table:
+        dim, number, place = (own[c][0].as_py() for c in ("dim", "shard", "place"))
         order = np.argsort(own["key"].to_numpy(), kind="stable")
         vectors = own["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(dtype)[order]
         ids = np.zeros((len(order), k + 2), np.int64)  # how many, and they
@@ -243,12 +251,14 @@ def index(rows: DataFrame, k: int, shard: int | None = None) -> DataFrame:
         scale = scale_of(vectors)
         layers = [{"nodes": a.astype(np.int32).tobytes(), "neighbours": b.astype(np.int32).tobytes()} for a, b in build(scaled(vectors, scale)).layers]
         return pa.table({
-            "dim": pa.array([dim], pa.int32()), "shard": pa.array([number], pa.int32()), "n": pa.array([len(order)], pa.int32()), "scale": pa.array([scale]), "members": pa.array([ids.tobytes()]),
+            "dim": pa.array([dim], pa.int32()), "shard": pa.array([number], pa.int32()), "place": pa.array([place], pa.int32()), "n": pa.array([len(order)], pa.int32()), "scale": pa.array([scale]), "members": pa.array([ids.tobytes()]),
             "vectors": pa.array([vectors.tobytes()]), "layers": pa.array([layers], pa.list_(pa.struct([("nodes", pa.binary()), ("neighbours", pa.binary())]))),
         })
 
-    dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod("key", "shards").cast("int")).drop("shards")
-    return dealt.groupBy("dim", "shard").applyInArrow(run, STORED)
+    # A task for each shard: graphs are small to move and long to build, so adaptive execution must not put them together.
+    dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod("key", "shards").cast("int"))
+    dealt = dealt.select("v", "ids", "dim", "key", "shard", (F.col("before") + F.col("shard")).cast("int").alias("place"))
+    return mapped(dealt.repartitionById(total, "place"), run, STORED, "ann")
 
 
 @dataclass
@@ -302,11 +312,11 @@ def search(stored: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asked = queries.select("v").distinct().select("v", F.size("v").alias("dim"), F.xxhash64("v", F.lit(6)).alias("key"))
     counts = asked.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     blocks = asked.join(counts, "dim").groupBy("dim", F.pmod("key", "blocks").alias("block")).agg(F.collect_list("v").alias("asked"))  # about BLOCK
-    shards = stored.groupBy("dim").agg(F.count("*").cast("int").alias("shards"))
-    # The stated queries meet every shard, a block of them at a time.
-    sent = blocks.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    dealt = stored.withColumn("asked", F.lit(None).cast(f"array<{kind}>")).unionByName(sent.select("dim", "shard", "asked"), allowMissingColumns=True)
-    dealt = dealt.withColumn("turn", F.col("asked").isNotNull()).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "turn")
+    total = stored.agg(F.count("*")).first()[0] or 1
+    # The stated queries meet every shard of their length, a block of them at a time.
+    sent = blocks.join(stored.select("dim", "shard", "place"), "dim")
+    dealt = stored.withColumn("asked", F.lit(None).cast(f"array<{kind}>")).unionByName(sent.select("dim", "shard", "place", "asked"), allowMissingColumns=True)
+    dealt = dealt.withColumn("turn", F.col("asked").isNotNull()).repartitionById(total, "place").sortWithinPartitions("dim", "shard", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at = None, None
