@@ -88,13 +88,56 @@ def decided(reports: DataFrame) -> DataFrame:
     return reports.withColumn("decision", decision)
 
 
-def geocode_gate(candidates: DataFrame, slack_km: float = 60.0) -> DataFrame:
-    """Answers (lat, lng, city, area_lat, area_lng, radius_km, area_city) with the first gate that refuses each, or null."""
+def road_number(text: Column) -> Column:
+    """Road and house number of a Chinese address; null without both."""
+    found = r"(\p{IsHan}{1,8}?(?:大道|路|街|道|巷|胡同))([0-9]+(?:-[0-9]+)?)号"
+    road, number = (F.regexp_extract(F.coalesce(text, F.lit("")), found, k) for k in (1, 2))
+    return F.when(road != "", F.struct(road.alias("road"), number.alias("number")))
+
+
+def same_road_number(addr: Column, answer: Column) -> Column:
+    """Whether an answer repeats the road and the number of an address; either alone stands for nothing."""
+    a, b = road_number(addr), road_number(answer)
+    return F.coalesce((a["number"] == b["number"]) & (F.contains(answer, a["road"]) | F.contains(addr, b["road"])), F.lit(False))
+
+
+def geocode_gate(candidates: DataFrame, slack_km: float = 60.0, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Answers (lat, lng, city, area_lat, area_lng, radius_km, area_city) with the first gate that refuses each, or null: position, box, distance, city, district.
+
+    With columns addr, answer, district (where the row should be) and districts (all of its city): an answer that names
+    another district of the city and not this one is refused, unless it repeats the address's road and number.
+    """
     distance = geo.haversine("lat", "lng", "area_lat", "area_lng", geo.RADIUS_KM)
-    gate = F.when(~geo.valid("lat", "lng"), "position").when(F.col("area_lat").isNotNull() & (distance > F.col("radius_km") + slack_km), "distance").when(F.col("area_city").isNotNull() & F.col("city").isNotNull() & (F.instr("city", F.col("area_city")) == 0) & (F.instr("area_city", F.col("city")) == 0), "city")
+    gate = F.when(~geo.valid("lat", "lng"), "position")
+    if box:
+        gate = gate.when(~F.coalesce(geo.in_box("lat", "lng", *box), F.lit(False)), "box")
+    gate = gate.when(F.col("area_lat").isNotNull() & (distance > F.col("radius_km") + slack_km), "distance").when(F.col("area_city").isNotNull() & F.col("city").isNotNull() & (F.instr("city", F.col("area_city")) == 0) & (F.instr("area_city", F.col("city")) == 0), "city")
+    if {"answer", "district", "districts", "addr"} <= set(candidates.columns):
+        named = F.exists("districts", lambda d: F.contains(F.col("answer"), d))
+        own = F.contains(F.col("answer"), F.col("district"))
+        gate = gate.when(F.col("district").isNotNull() & named & ~own & ~same_road_number(F.col("addr"), F.col("answer")), "district")
     return candidates.withColumn("refused_by", gate)
 
 
+def related_areas(pairs: DataFrame, areas: DataFrame, want: str = "want", got: str = "got") -> DataFrame:
+    """pairs of bare area names with related: whether they are one area, or an area of one name lies (at any depth) in one of the other's.
+
+    areas: area_id, base, parent, depth. The wanted name never stands for an area of depth 0, as some provinces are named
+    like one of their cities. Names that no area has are related to nothing but themselves.
+    """
+    own = areas.select("area_id", "base", "parent", "depth")
+    up = own.select("area_id", F.col("area_id").alias("above"), F.col("parent").alias("next"))
+    chain, links = up, own.select(F.col("area_id").alias("_a"), F.col("parent").alias("_p"))
+    for _ in range(3):  # depths 0 to 3
+        up = up.where("next is not null").join(links, F.col("next") == F.col("_a")).select("area_id", F.col("_a").alias("above"), F.col("_p").alias("next"))
+        chain = chain.unionByName(up)
+    named = own.select(F.col("area_id").alias("_n"), "base", "depth")
+    below = chain.select("area_id", "above").distinct()
+    inside = below.join(named.withColumnsRenamed({"_n": "area_id", "base": "low", "depth": "low_depth"}), "area_id").join(named.withColumnsRenamed({"_n": "above", "base": "high", "depth": "high_depth"}), "above")
+    rel = inside.where("high_depth >= 1").select(F.col("high").alias(want), F.col("low").alias(got)).union(inside.where("low_depth >= 1").select(F.col("low"), F.col("high"))).distinct().withColumn("_yes", F.lit(True))
+    return pairs.join(rel, [want, got], "left").withColumn("related", F.coalesce("_yes", F.col(want) == F.col(got), F.lit(False))).drop("_yes")
+
+
 def gate_counts(rows: DataFrame, reason: str, group: list[str] | None = None) -> DataFrame:
     """How many rows each gate refused, and how many passed (reason "passed"); by group, if given."""
     return rows.groupBy(*(group or []), F.coalesce(F.col(reason), F.lit("passed")).alias("reason")).agg(F.count("*").alias("n"))

@@ -311,3 +311,14 @@ def refreshed_cache(spark, sf):
     answer = F.when(s % 4 != 0, 20.0 + s % 30)
     cache = _t(spark, sf, "supplier").select(F.concat(F.lit("a"), s).alias("addr_key"), answer.alias("lat"), answer.alias("lng"))
     return geocoders.refreshed(rows, cache, box=(20.0, 40.0, 0.0, 90.0)).select("id", "lat", "from_cache")
+
+
+@query("""with p as (select c_custkey as id, a.n_name as want, case when c_custkey % 2 = 0 then r.r_name else b.n_name end as got, a.n_nationkey as x, b.n_nationkey as y, a.n_regionkey as xr, r.r_regionkey as r, c_custkey % 2 = 0 as up from customer join nation a on c_nationkey = a.n_nationkey join nation b on b.n_nationkey = (c_nationkey + c_custkey) % 25 join region r on r.r_regionkey = c_custkey % 5)
+select id, want, got, case when up then xr = r else x = y end as related from p""")
+def related_places(spark, sf):
+    nation, region, c = _t(spark, sf, "nation"), _t(spark, sf, "region"), _t(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    areas = region.select(F.concat(F.lit("r"), "r_regionkey").alias("area_id"), F.col("r_name").alias("base"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")).union(nation.select(F.concat(F.lit("n"), "n_nationkey"), "n_name", F.concat(F.lit("r"), "n_regionkey"), F.lit(1)))
+    other = nation.select(F.col("n_nationkey").alias("other"), F.col("n_name").alias("there"))
+    rows = c.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(other, F.col("other") == (F.col("c_nationkey") + F.col("c_custkey")) % 25).join(region, F.col("r_regionkey") == F.col("c_custkey") % 5)
+    pairs = rows.select(F.col("c_custkey").alias("id"), F.col("n_name").alias("want"), F.when(F.col("c_custkey") % 2 == 0, F.col("r_name")).otherwise(F.col("there")).alias("got"))
+    return checks.related_areas(pairs, areas).select("id", "want", "got", "related")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.windows import parts
 
@@ -60,6 +65,29 @@ def kml_parts(rows: DataFrame, layer: str, order: list[Column], size: int = 1990
     return docs.select(layer, "part", "n", F.concat(head, F.col("_body"), F.lit("\n</Document></kml>\n")).alias("kml"))
 
 
+@F.pandas_udf(T.BinaryType())
+def zipped(kml: pd.Series) -> pd.Series:
+    """A KMZ: a zip file with the one document doc.kml, the same bytes for the same text."""
+
+    def one(text: str | None) -> bytes | None:
+        if text is None:
+            return None
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(zipfile.ZipInfo("doc.kml", (1980, 1, 1, 0, 0, 0)), text, zipfile.ZIP_DEFLATED)
+        return out.getvalue()
+
+    return kml.map(one, na_action=None)
+
+
+def kmz_files(rows: DataFrame, layer: str, order: list[Column], size: int = 1990) -> DataFrame:
+    """file and content of the KMZ of each layer and part (see kml_parts): layer.kmz where there is one part, else layer_a.kmz, layer_b.kmz, ..."""
+    docs = kml_parts(rows, layer, order, size)
+    many = F.count("*").over(Window.partitionBy(layer)) > 1  # a row for each part
+    name = F.concat(F.col(layer), F.when(many, F.concat(F.lit("_"), F.lower("part"))).otherwise(""), F.lit(".kmz"))
+    return docs.select(name.alias("file"), zipped("kml").alias("content"))
+
+
 def pages(rows: DataFrame, key: str, title: str, about: str) -> DataFrame:
     """A static page for each key."""
     html = F.format_string('<!doctype html><html><head><meta charset="utf-8"><title>%s</title><meta property="og:title" content="%s"><meta property="og:description" content="%s"></head><body><h1>%s</h1><p>%s</p></body></html>', *[_escaped(F.coalesce(F.col(c), F.lit(""))) for c in (title, title, about, title, about)])

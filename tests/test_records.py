@@ -1,14 +1,16 @@
 """Rows put together, sizes of pictures, exports and positions, on small cases."""
 
+import io
 import math
 import random
 import struct
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from atlasweave.functions import geo, labels
-from atlasweave.operators import aggregates, records, review
+from atlasweave.operators import aggregates, checks, records, review
 from atlasweave.sources import readers, sinks
 
 ROW = "cluster int, k int, games array<string>, cabs array<string>, src array<string>, links map<string,string>, game_counts map<string,int>, count_evidence map<string,string>, addr string, pref string, notes string, lat double, lng double, approx boolean"
@@ -97,3 +99,29 @@ def test_changes_are_idempotent(spark):
 def test_labels(spark):
     row = spark.range(1).select(labels.interpolated(F.lit("{a} of {b} {c}"), F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))).alias("t"), labels.highlighted(F.lit("In Rome"), F.lit("rom")).alias("h"), labels.highlighted(F.lit("x"), F.lit("")).alias("none")).first()
     assert row.t == "1 of 2 {c}" and tuple(row.h) == (3, 6) and row.none is None
+
+
+def test_gates_of_answers(spark):
+    rows = [
+        (1, 30.0, 110.0, "甲市", "某路1号", "甲市东区某路2号", "东区", None), (2, 30.0, 110.0, "甲市", "某路1号", "甲市西区别路1号", "东区", "district"), (3, 30.0, 110.0, "甲市", "某路12号", "甲市西区某路12号", "东区", None),
+        (4, 30.0, 110.0, "甲市", "某路1号", "甲市某处", "东区", None), (5, 5.0, 110.0, "甲市", "", "", None, "box"), (6, 30.0, 119.0, "甲市", "", "", None, "distance"), (7, 30.0, 110.0, "乙市", "", "", None, "city"), (8, None, None, "甲市", "", "", None, "position"), (9, 30.0, 110.0, "甲市", "某路1号", "甲市西区", None, None),
+    ]
+    df = spark.createDataFrame([r[:-1] for r in rows], "id int, lat double, lng double, city string, addr string, answer string, district string")
+    df = df.withColumns({"area_lat": F.lit(30.0), "area_lng": F.lit(110.0), "radius_km": F.lit(120.0), "area_city": F.lit("甲"), "districts": F.array(F.lit("东区"), F.lit("西区"))})
+    got = {r.id: r.refused_by for r in checks.geocode_gate(df, box=(17.5, 54.0, 73.0, 135.5)).collect()}
+    assert got == {r[0]: r[-1] for r in rows}
+
+
+def test_related_areas(spark):
+    areas = spark.createDataFrame([("p", "吉林", None, 0), ("c1", "长春", "p", 1), ("c2", "吉林", "p", 1), ("d1", "榆树", "c1", 2), ("d2", "船营", "c2", 2)], "area_id string, base string, parent string, depth int")
+    cases = {("长春", "榆树"): True, ("榆树", "长春"): True, ("吉林", "榆树"): False, ("吉林", "船营"): True, ("长春", "吉林"): True, ("榆树", "船营"): False, ("无", "无"): True, ("无", "长春"): False}
+    got = checks.related_areas(spark.createDataFrame(list(cases), "want string, got string"), areas).collect()
+    assert {(r.want, r.got): r.related for r in got} == cases and len(got) == len(cases)
+
+
+def test_zipped_layers(spark):
+    marks = spark.createDataFrame([("one", "a", "x", 1.0, 2.0, 1), ("two", "b", "y", 1.0, 2.0, 2), ("two", "c", "z", 1.0, 2.0, 3)], "layer string, name string, about string, lat double, lng double, id int")
+    files = {r.file: bytes(r.content) for r in sinks.kmz_files(marks, "layer", [F.col("id")], 1).collect()}
+    assert set(files) == {"one.kmz", "two_a.kmz", "two_b.kmz"}
+    with zipfile.ZipFile(io.BytesIO(files["two_b.kmz"])) as z:
+        assert z.namelist() == ["doc.kml"] and "<name>c</name>" in z.read("doc.kml").decode()
