@@ -9,13 +9,37 @@ from pyspark.sql import types as T
 
 from ..functions import geo
 from ..functions.text import squeezed, stripped_html
+from ..operators.aggregates import EVIDENCE_RANK, strongest_counts
 from .schemas import COMMUNITY, CORRUPT, OFFICIAL
 
 
 def json_rows(spark: SparkSession, path: str, schema: str = COMMUNITY, tag_pattern: str | None = None) -> DataFrame:
-    """Rows of JSON array files, broken ones in _corrupt_record; with a pattern, tag is its first group of the file name."""
+    """Rows of JSON array files, broken ones in _corrupt_record; with a pattern, tag is its first group of the file name.
+
+    load_at tells rows' order: by file, then by place in it. An array file is read by one task, so places don't depend on
+    how files are dealt.
+    """
     rows = spark.read.schema(f"{schema}, {CORRUPT}").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return rows.withColumn("tag", F.regexp_extract(F.input_file_name(), tag_pattern, 1)) if tag_pattern else rows
+    rows = rows.withColumn("load_at", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place")))
+    return rows.withColumn("tag", F.regexp_extract("load_at.file", tag_pattern, 1)) if tag_pattern else rows
+
+
+#: The official listings by file: source, tags, models.
+FAMILIES = {
+    "maimai_jp": ("allnet", "maimai_dx", ""), "maimai_intl": ("allnet", "maimai_dx", ""), "chunithm_jp": ("allnet", "chunithm", ""), "chunithm_intl": ("allnet", "chunithm", ""), "ongeki": ("allnet", "ongeki", ""), "project_diva": ("allnet", "project_diva", ""),
+    "polaris_chord": ("eagate", "polaris_chord", ""), "sdvx": ("eagate", "sdvx", ""), "sdvx_vm": ("eagate", "sdvx", "sdvx_vm"), "iidx": ("eagate", "iidx", ""), "iidx_lm": ("eagate", "iidx", "iidx_lm"), "ddr": ("eagate", "ddr", ""), "ddr_gold": ("eagate", "ddr", "ddr_gold"),
+    "gitadora_gf": ("eagate", "gitadora", ""), "gitadora_dm": ("eagate", "gitadora", ""), "gitadora_gf_arena": ("eagate", "gitadora", "gitadora_gf_arena"), "gitadora_dm_arena": ("eagate", "gitadora", "gitadora_dm_arena"), "jubeat": ("eagate", "jubeat", ""), "popn": ("eagate", "popn", ""),
+    "popn_pikapika": ("eagate", "popn", "popn_pikapika"), "nostalgia": ("eagate", "nostalgia", ""), "drs": ("eagate", "drs", ""), "dance_around": ("eagate", "dance_around", ""), "dance_evo": ("eagate", "dance_evo", ""), "museca": ("eagate", "museca", ""), "reflec": ("eagate", "reflec", ""),
+    "china_wahlap_maimai_dx": ("wahlap", "maimai_dx", ""), "china_wahlap_chunithm": ("wahlap", "chunithm", ""),
+}
+
+
+def of_families(rows: DataFrame, families: dict[str, tuple[str, str, str]] | None = None) -> DataFrame:
+    """Official rows (tag: the file) with source, games and cabs of their family; rows of unknown files are left out."""
+    known = families or FAMILIES
+    table = F.create_map(*[x for tag, (source, game, cab) in known.items() for x in (F.lit(tag), F.struct(F.lit(source).alias("source"), F.array(F.lit(game)).alias("games"), F.array(F.lit(cab)).alias("cabs")))])
+    found = rows.withColumn("_f", F.try_element_at(table, F.col("tag"))).where("_f is not null")
+    return found.withColumns({"source": F.col("_f.source"), "games": F.col("_f.games"), "cabs": F.array_remove(F.col("_f.cabs"), "")}).drop("_f")
 
 
 def official_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -56,28 +80,43 @@ def geojson_position(point: Column) -> tuple[Column, Column]:
 
 
 def merged_by_id(parts: list[DataFrame], key: str, arrays: list[str], order: str | None = None) -> DataFrame:
-    """One row for each key of several results: arrays united, other columns from the first (or, with order, the latest) row that has them."""
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p, allowMissingColumns=True)
-    rows = rows.withColumn("_at", F.monotonically_increasing_id() if order is None else F.col(order))
+    """One row for each key of several results: arrays united, other columns from the first result (or, with order, the latest row) that has them; within a result by a hash of the row."""
+    rows = None
+    for k, p in enumerate(parts):
+        own = p.withColumn("_at", F.struct(F.lit(k).alias("part"), F.xxhash64(*[F.col(c).cast("string") for c in p.columns]).alias("h")) if order is None else F.col(order))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
     pick = F.min_by if order is None else F.max_by
     others = [c for c in rows.columns if c not in (key, "_at", *arrays)]
     return rows.groupBy(key).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in arrays], *[pick(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in others])
 
 
 def units(rows: DataFrame) -> DataFrame:
-    """Community rows as units: one for each source, squeezed name and address, with sets united and a stable unit_id.
+    """Rows of any family as units: one for each source, squeezed name and address, with sets united and a stable unit_id.
 
-    (0, 0) is no position; counts under 1 are dropped; a unit's scalars are those of its first row in load order.
+    (0, 0) is no position. A unit's scalars are those of its first row in load order (load_at; without it by a hash of the
+    row) that has them; other pages are kept in also, notes joined in order. Counts under 1 are dropped; of several, the
+    best attested stays (the larger of equals), and a counted tag is always one of games. Rows without a name are left out.
     """
-    keyed = rows.withColumns({"_name": squeezed("name"), "_addr": squeezed("address"), "_at": F.monotonically_increasing_id()})
-    keyed = keyed.withColumns({"lat": geo.null_zero("lat", "lng", F.col("lat")), "lng": geo.null_zero("lat", "lng", F.col("lng")), "game_counts": F.map_filter("game_counts", lambda k, v: v > 0)})
-    has = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c)
+    optional = {"cabs": "array<string>", "games": "array<string>", "notes": "string", "country": "string", "source_url": "string", "hours": "string", "website": "string", "game_counts": "map<string,int>", "count_evidence": "map<string,string>"}
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in optional.items() if c not in rows.columns}).where("trim(coalesce(name, '')) <> ''")
+    at = F.col("load_at") if "load_at" in rows.columns else F.xxhash64("name", "address", "lat", "lng", "notes", "source_url")
+    keyed = rows.withColumns({"_name": squeezed("name"), "_addr": squeezed(F.coalesce("address", F.lit(""))), "_at": at})
+    keyed = keyed.withColumns({"lat": geo.null_zero("lat", "lng", F.col("lat")), "lng": geo.null_zero("lat", "lng", F.col("lng"))})
+    key, none = ["source", "_name", "_addr"], F.array().cast("array<string>")
+    has = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col("_at"))).alias(c)
     pin = F.min_by(F.struct("lat", "lng"), F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.col("_at"))).alias("_pin")
-    out = keyed.groupBy("source", "_name", "_addr").agg(F.min("_at").alias("_first"), F.min_by("name", "_at").alias("name"), F.min_by("address", "_at").alias("addr"), pin, F.array_sort(F.array_distinct(F.flatten(F.collect_list("games")))).alias("games"), *[has(c) for c in ("country", "source_url", "hours", "website", "game_counts", "count_evidence")])
-    key = F.xxhash64("source", "_name", "_addr")
-    return out.select(key.alias("unit_id"), "source", "name", "addr", F.col("_pin.lat").alias("lat"), F.col("_pin.lng").alias("lng"), "games", "country", "source_url", "hours", "website", "game_counts", "count_evidence")
+    sets = [F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, none)))).alias(c) for c in ("games", "cabs")]
+    pages = F.array_sort(F.collect_set(F.when(F.coalesce("source_url", F.lit("")) != "", F.col("source_url")))).alias("_pages")
+    notes = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("notes", F.lit("")) != "", F.struct("_at", "notes")))), lambda x: x["notes"]))
+    out = keyed.groupBy(*key).agg(F.min_by("name", "_at").alias("name"), F.min_by("address", "_at").alias("addr"), pin, *sets, pages, F.array_join(notes, " | ").alias("notes"), *[has(c) for c in ("country", "source_url", "hours", "website")])
+    each = keyed.select(*key, "count_evidence", F.explode("game_counts").alias("game", "n")).where("n > 0")
+    said = F.try_element_at("count_evidence", F.col("game"))
+    evidence = F.when(said.isin(*EVIDENCE_RANK), said).when(F.col("source") == "bemanicn", "bemanicn_qty").when(F.col("source") == "ziv", "ziv_listed")
+    best = strongest_counts(each.withColumn("evidence", evidence), [*key, "game"])
+    counts = best.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("game", "n")))).alias("game_counts"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("evidence").isNotNull(), F.struct("game", "evidence"))))).alias("count_evidence"))
+    out = out.join(counts, key, "left")
+    games = F.array_sort(F.array_union("games", F.coalesce(F.map_keys("game_counts"), none)))
+    return out.select(F.xxhash64(*key).alias("unit_id"), "source", "name", "addr", F.col("_pin.lat").alias("lat"), F.col("_pin.lng").alias("lng"), games.alias("games"), F.array_sort("cabs").alias("cabs"), "country", "source_url", F.array_except("_pages", F.array("source_url")).alias("also"), "notes", "hours", "website", "game_counts", "count_evidence")
 
 
 def filled_rates(primary: DataFrame, fallback: DataFrame, required: list[str], least: float = 1e-6, most: float = 1e6) -> DataFrame:

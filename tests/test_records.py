@@ -125,3 +125,24 @@ def test_zipped_layers(spark):
     assert set(files) == {"one.kmz", "two_a.kmz", "two_b.kmz"}
     with zipfile.ZipFile(io.BytesIO(files["two_b.kmz"])) as z:
         assert z.namelist() == ["doc.kml"] and "<name>c</name>" in z.read("doc.kml").decode()
+
+
+def test_units_of_official_files(spark, tmp_path):
+    (tmp_path / "sdvx.json").write_text('[{"name": "A", "address": "x", "lat": 0, "lng": 0}, {"name": " ", "address": "y"}]')
+    (tmp_path / "sdvx_vm.json").write_text('[{"name": "A", "address": "x ", "lat": 1.0, "lng": 2.0}]')
+    (tmp_path / "unknown.json").write_text('[{"name": "B", "address": "z"}]')
+    rows = readers.of_families(readers.official_rows(spark, str(tmp_path)))
+    got = readers.units(rows).collect()
+    assert [(r.source, r.name, r.games, r.cabs, r.lat, r.also) for r in got] == [("eagate", "A", ["sdvx"], ["sdvx_vm"], 1.0, [])]
+
+
+def test_units_fold_counts_by_evidence(spark):
+    schema = "name string, address string, lat double, lng double, source string, source_url string, notes string, games array<string>, game_counts map<string,int>, count_evidence map<string,string>, load_at struct<file:string,place:int>"
+    rows = [
+        ("V", "s", None, None, "ziv", "u1", "n1", ["a"], {"a": 9, "b": 0}, {"a": "ziv_listed"}, ("f", 1)), ("V", "s", 1.0, 2.0, "ziv", "u2", "n2", [], {"a": 3, "c": 2}, {"a": "ziv_comment"}, ("f", 2)), ("V", "s", None, None, "ziv", "u1", "n1", None, None, None, ("e", 1)),
+        ("V", "s", None, None, "bemanicn", None, None, None, {"a": 4}, None, ("f", 9)),
+    ]
+    got = {r.source: r for r in readers.units(spark.createDataFrame(rows, schema).repartition(3)).collect()}
+    one = got["ziv"]
+    assert one.game_counts == {"a": 3, "c": 2} and one.count_evidence == {"a": "ziv_comment", "c": "ziv_listed"} and one.games == ["a", "c"] and (one.source_url, one.also, one.notes, one.lat) == ("u1", ["u2"], "n1 | n2", 1.0)
+    assert got["bemanicn"].count_evidence == {"a": "bemanicn_qty"}
