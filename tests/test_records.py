@@ -79,7 +79,7 @@ def test_mercator_metres(spark):
 
 def test_sheet_begins_with_a_mark(spark, tmp_path):
     rows = spark.createDataFrame([("A, b", None, 1.0, 2.0, "X", ["g"], [], ["s", "t"])], "name string, addr string, lat double, lng double, country string, games array<string>, cabs array<string>, src array<string>")
-    sinks.write_csv(sinks.sheet(rows), str(tmp_path / "out"), spreadsheet=True)
+    sinks.write_csv(sinks.sheet(rows).coalesce(1), str(tmp_path / "out"), spreadsheet=True)
     text = next((tmp_path / "out").glob("*.csv")).read_bytes()
     assert text.startswith(b"\xef\xbb\xbfname,address,lat,lng,country,games,cabinets,source") and b'"A, b","",1.0000000,2.0000000,X,g,"",s;t' in text
     same = [r.value for r in sinks.stable_json(rows, [F.col("name")]).collect()]
