@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +60,16 @@ def part_label(n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(14)), begin, step, lambda a: a["label"])  # 26**14 is beyond a long
 
 
-def parts(rows: DataFrame, layer: str, order: list[Column], size: int = 1990) -> DataFrame:
-    """rows with their place in a layer and the part (A to Z, AA, ...) of at most size rows that it goes to."""
+def character(n: Column) -> Column:
+    """The character of a Unicode code point (chr() only knows the first 256); null where there is none."""
+    real = n.between(0, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    return F.when(real, F.decode(F.unhex(F.lpad(F.hex(F.when(real, n).otherwise(0).cast("long")), 8, "0")), "UTF-32"))
+
+
+def parts(rows: DataFrame, layer: str, order: list[Column], size: int = 1990, label: Callable[[Column], Column] = part_label) -> DataFrame:
+    """rows with their place in a layer and the part (A to Z, AA, ..., or as label names the number of a part) of at most size rows that it goes to."""
     numbered = dense_ids(rows, order, "place", [layer])
-    return numbered.withColumn("part", part_label(F.floor((F.col("place") - 1) / size)))
+    return numbered.withColumn("part", label(F.floor((F.col("place") - 1) / size)))
 
 
 def first_rule(rules: list[tuple[Column, str]], default: str | None = None) -> Column:

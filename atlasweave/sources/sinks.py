@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.windows import parts
+from ..operators.windows import part_label, parts
 
 
 def csv_columns(rows: DataFrame, arrays: list[str], maps: list[str], positions: tuple[str, ...] = ("lat", "lng")) -> DataFrame:
@@ -57,9 +58,9 @@ def placemarks(name: str = "name", about: str = "about") -> Column:
     return F.format_string("<Placemark><name>%s</name><description>%s</description><Point><coordinates>%.7f,%.7f,0</coordinates></Point></Placemark>", _escaped(F.coalesce(F.col(name), F.lit(""))), _escaped(F.coalesce(F.col(about), F.lit(""))), F.col("lng"), F.col("lat"))
 
 
-def kml_parts(rows: DataFrame, layer: str, order: list[Column], size: int = 1990) -> DataFrame:
+def kml_parts(rows: DataFrame, layer: str, order: list[Column], size: int = 1990, label: Callable[[Column], Column] = part_label) -> DataFrame:
     """One KML document for each layer and part of at most size rows: layer, part, n, kml."""
-    placed = parts(rows.where("lat is not null and lng is not null"), layer, order, size).withColumn("_mark", placemarks())
+    placed = parts(rows.where("lat is not null and lng is not null"), layer, order, size, label).withColumn("_mark", placemarks())
     docs = placed.groupBy(layer, "part").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "_mark"))), lambda m: m["_mark"]), "\n").alias("_body"))
     head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>'), _escaped(F.col(layer)), F.lit("</name>\n"))
     return docs.select(layer, "part", "n", F.concat(head, F.col("_body"), F.lit("\n</Document></kml>\n")).alias("kml"))
