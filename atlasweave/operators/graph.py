@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..session import shared_folder
 
 
@@ -53,6 +55,60 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
+def components_within(points: DataFrame, point_id: str, radius_m: float, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """node and component, as components() of all pairs of points at most radius_m apart, without listing the pairs.
+
+    Cells are so small that any two points of one are within the radius, so a cell is a node, and points cost no edges. Two
+    cells whose outermost points are near enough link; of those that still are in different components after that, all
+    positions are compared. Only edges between cells are written.
+    """
+    from . import joins
+
+    chord = 2 * math.sin(min(radius_m / geo.RADIUS_M, math.pi) / 2) * 0.999
+    rows = math.ceil(180 / math.degrees(chord / math.sqrt(2)))
+    high = 180 / rows
+    row = F.least(F.floor((F.col(lat) + 90) / high), F.lit(rows - 1))
+    south = F.col("_row") * high - 90
+    # Of a row's latitudes the one nearest to the equator, where its cells are widest.
+    least = F.when((south <= 0) & (south + high >= 0), 0.0).otherwise(F.least(F.abs(south), F.abs(south + high)))
+    n = F.greatest(F.ceil(360 / F.lit(high) * F.cos(F.radians(least))), F.lit(1))
+    known = points.where(geo.valid(lat, lng) & F.col(point_id).isNotNull()).select(F.col(point_id).alias("node"), F.col(lat).alias("lat"), F.col(lng).alias("lng"), row.alias("_row"))
+    own = _written(known.withColumn("_col", F.least(F.floor((F.col("lng") + 180) / (F.lit(360.0) / n)), n - 1)).select("node", "lat", "lng", (F.col("_row") * 2**31 + F.col("_col")).alias("cell")))
+
+    at = F.struct("lat", "lng")
+    ends = F.array(F.min_by(at, "lat"), F.max_by(at, "lat"), F.min_by(at, "lng"), F.max_by(at, "lng"))
+    cells = own.groupBy("cell").agg(F.min("node").alias("least"), ends.alias("ends"), (F.count("*") <= 2).alias("few")).withColumn("_row", F.floor(F.col("cell") / 2**31))
+    cells = _written(cells.select("cell", "least", "ends", "few", (south + high / 2).alias("lat"), ((F.col("cell") % 2**31 + 0.5) * (F.lit(360.0) / n) - 180).alias("lng")))
+    # A point is at most half the radius from its cell's centre.
+    met = joins.spatial_join(cells.select("cell", "lat", "lng"), cells.select("cell", "lat", "lng"), 2.002 * radius_m).where("l_cell > r_cell")
+    left, right = (cells.select(F.col("cell").alias(c), F.col("ends").alias(f"ends_{c}"), F.col("few").alias(f"few_{c}")) for c in "ab")
+    close = lambda x, y: geo.haversine(x["lat"], x["lng"], y["lat"], y["lng"]) <= radius_m
+    both = met.select(F.col("l_cell").alias("a"), F.col("r_cell").alias("b"), *[F.col(f"{p}_{c}") for p in "lr" for c in ("lat", "lng")]).join(left, "a").join(right, "b")
+    pairs = _written(both.withColumn("near", F.exists("ends_a", lambda x: F.exists("ends_b", lambda y: close(x, y)))).drop("ends_a", "ends_b"))
+    # The ends of two points are all there is.
+    apart = pairs.where("not near and not (few_a and few_b)")
+    # One point in several places joins their cells.
+    often = own.groupBy("node").agg(F.min("cell").alias("b"), F.max("cell").alias("hi")).where("b <> hi").select("node", "b")
+    edges = _written(pairs.where("near").select("a", "b").unionByName(own.join(often, "node").where("cell <> b").select(F.col("cell").alias("a"), "b")))
+    found = components(edges)
+    named = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    rest = None
+    if not apart.isEmpty():
+        rest = apart.join(named("a"), "a", "left").join(named("b"), "b", "left")
+        rest = _written(rest.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "l_lat", "l_lng", "r_lat", "r_lng"))
+    if rest is not None and not rest.isEmpty():
+        spots = own.select("cell", "lat", "lng").distinct()
+        reach = 1.502 * radius_m
+        near_b = rest.join(spots, F.col("a") == F.col("cell")).where(geo.haversine("lat", "lng", "r_lat", "r_lng") <= reach).select("a", "b", F.col("lat").alias("x"), F.col("lng").alias("y"))
+        near_a = rest.join(spots, F.col("b") == F.col("cell")).where(geo.haversine("lat", "lng", "l_lat", "l_lng") <= reach).select("a", "b", "lat", "lng")
+        more = near_b.join(near_a, ["a", "b"]).where(geo.haversine("x", "y", "lat", "lng") <= radius_m).select("a", "b").distinct()
+        found = components(edges.unionByName(more))
+    roots = cells.select("cell", "least").join(found, F.col("cell") == found.node, "left").select("cell", "least", F.coalesce("component", "cell").alias("root"))
+    least_of = roots.groupBy("root").agg(F.min("least").alias("component"))
+    named_cells = roots.join(least_of, "root").select("cell", "component")
+    return own.select("node", "cell").join(named_cells, "cell").where("node <> component").select("node", "component").distinct()
+
+
 def labelled(units: DataFrame, edges: DataFrame, unit_id: str = "unit_id") -> DataFrame:
     """units with cluster_id: the component of a linked unit, else its own id."""
     found = components(edges)
