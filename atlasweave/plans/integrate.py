@@ -17,6 +17,7 @@ from ..functions import scripts
 from ..functions.identity import stable_key
 from ..functions.text import bigrams, common_prefix, dice, folded, street_signature, with_name_keys, with_similarity
 from ..operators import aggregates, graph, joins, windows
+from ..session import measured_joins
 from . import two_scripts
 
 NEAR_M, NEAR_SIMILARITY = 120.0, 0.6
@@ -86,9 +87,11 @@ def alike_nearby(units: DataFrame, radius_m: float = NEAR_M) -> DataFrame:
 def near_and_alike(units: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """Units of different sources within NEAR_M whose names are alike, each the other's best in its source.
 
-    Of units of one source, name and spot only the last can be anyone's best (ties go to the larger id), so only it goes in.
+    Of units of one source, name and spot only the last can be anyone's best (ties go to the larger id), so only it goes in,
+    and only where another source has a unit around.
     """
     one = units.where("lat is not null and lng is not null").groupBy("source", "name_full", "name_bare", "lat", "lng").agg(F.max("unit_id").alias("unit_id"))
+    one = graph._written(joins.meeting(one, NEAR_M, "source"))
     pairs = _sided(alike_nearby(one), one, ["source", "name_bare", "name_full"]).where("a_source <> b_source")
     bare = with_similarity(pairs, "a_name_bare", "b_name_bare", "_s1")
     alike = with_similarity(bare, "a_name_full", "b_name_full", "_s2").withColumn("similarity", F.greatest("_s1", "_s2")).where(F.col("similarity") >= NEAR_SIMILARITY)
@@ -285,10 +288,11 @@ def linked(units: DataFrame, readings: dict[str, list[str]] | None = None) -> Da
 
 def venues(units: DataFrame, readings: dict[str, list[str]] | None = None) -> DataFrame:
     """One row for each venue, with what its units say together, a stable key and a dense id."""
-    own = prepared(units)
-    clustered = graph.labelled(own, linked(own, readings).select("a", "b"))
-    lead = aggregates.survivors(clustered.select("cluster_id", "unit_id", "source", "name", "addr", "lat", "lng", "country", "source_url"), "cluster_id", priority(F.col("source")))
-    sets = clustered.groupBy("cluster_id").agg(F.array_sort(F.collect_set("source")).alias("src"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("games")))).alias("games"))
-    sid = stable_key(F.col("source_url"), [("z", r"zenius[^/]*/arcades?/(\d+)"), ("b", r"bemanicn\.[a-z]+/s/(\d+)")], [F.col("country"), F.col("name"), F.col("addr")])
-    out = lead.join(sets, "cluster_id").withColumn("sid", sid).drop("unit_id", "source")
-    return windows.dense_ids(out, [F.col("country"), F.lower("name"), F.col("addr"), F.col("cluster_id")])
+    with measured_joins(units.sparkSession):
+        own = prepared(units)
+        clustered = graph.labelled(own, linked(own, readings).select("a", "b"))
+        lead = aggregates.survivors(clustered.select("cluster_id", "unit_id", "source", "name", "addr", "lat", "lng", "country", "source_url"), "cluster_id", priority(F.col("source")))
+        sets = clustered.groupBy("cluster_id").agg(F.array_sort(F.collect_set("source")).alias("src"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("games")))).alias("games"))
+        sid = stable_key(F.col("source_url"), [("z", r"zenius[^/]*/arcades?/(\d+)"), ("b", r"bemanicn\.[a-z]+/s/(\d+)")], [F.col("country"), F.col("name"), F.col("addr")])
+        out = lead.join(sets, "cluster_id").withColumn("sid", sid).drop("unit_id", "source")
+        return windows.dense_ids(out, [F.col("country"), F.lower("name"), F.col("addr"), F.col("cluster_id")])

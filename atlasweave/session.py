@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -40,3 +42,20 @@ def shared_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         _OWN[app] = f"file://{folder}"
     return _OWN[app]
+
+
+@contextmanager
+def measured_joins(spark: SparkSession) -> Iterator[None]:
+    """Within it, only tables that are small as measured when running are broadcast, none by a guess from the size of its files: a few columns of a compressed table look small and are not, and the driver holds each such table."""
+    guessed, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {key: spark.conf.get(key, None) for key in (guessed, measured)}
+    spark.conf.set(measured, before[measured] or spark.conf.get(guessed))
+    spark.conf.set(guessed, "-1")
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
