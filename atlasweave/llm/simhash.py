@@ -12,6 +12,11 @@ A bucket can be large, so its pairs are never listed. Two fingerprints of one bu
 exactly if some centre is within one bit of both, and a centre has at most 65 neighbours. Each member of a bucket that
 holds two or more fingerprints therefore meets the others under its centres (itself, and itself with one unmasked bit
 turned), in groups of at most 65, whatever the size of the bucket.
+
+``met`` takes the masks further, to ``NEAR`` = 11 bits: of the two halves of a fingerprint one differs in 5 bits at most,
+and 63 masks cover these as 7 cover two (m(i) in GF(2)^6; as the vectors of a Reed-Muller code, each mask keeps 16 of the
+32 bits). Fingerprints that share a key needn't be that near, so they are compared whole, with the bucket's leaders only.
+Unlike links, these candidates await a check of their texts.
 """
 
 from __future__ import annotations
@@ -31,6 +36,10 @@ SHINGLE = 3
 BITS = 64
 RADIUS = 2
 TABLES = 2 ** (RADIUS + 1) - 1
+#: Differing bits of candidates, and the tables that each half of a fingerprint takes for them.
+NEAR, HALF_TABLES = 11, 63
+#: Keys that one task compares.
+TASK_KEYS = 1_000_000
 #: Shingle hashes that are held at once, and the most in a 16-bit counter.
 HELD, COUNTER = 1_000_000, 65_535
 #: Tasks at least, and rows of edges that fill one.
@@ -129,6 +138,91 @@ def links(prints: DataFrame) -> DataFrame:
     return groups.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b").distinct()
 
 
+def near_masks() -> np.ndarray:
+    """The bits that each of the 126 tables for ``NEAR`` bits keeps: the even ones of a fingerprint, then the odd ones."""
+    return np.array([sum(1 << (2 * i + half) for i in range(BITS // 2) if ((32 + i) & v).bit_count() % 2) for half in (0, 1) for v in range(1, HALF_TABLES + 1)], np.uint64)
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    """A hash of whole numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E37_79B9_7F4A_7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The fingerprints of a batch in each table, by part: what shares a key in a table has one part."""
+    masks = near_masks()
+    step = TASK_KEYS // len(masks)
+    for batch in batches:
+        whole = batch.column(0).to_numpy().view(np.uint64)
+        for k in range(0, len(whole), step):
+            fps = whole[k : k + step]
+            part = np.concatenate([_spread(_spread(fps & m) + np.uint64(v)) % np.uint64(parts) for v, m in enumerate(masks)]).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            ends = np.cumsum(np.bincount(part, minlength=parts)).tolist()
+            rows = []
+            for n, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                if a < b:
+                    at = order[a:b]
+                    rows.append((n, (at // len(fps)).astype(np.uint8).tobytes(), fps[at % len(fps)].tobytes()))
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "tables", "fps"])
+
+
+def nearest_leaders(tables: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints, the nearest leader of each in its buckets, and their distance, if that is ``NEAR`` or less.
+
+    A bucket's first fingerprint leads; those near it follow it, and the first of the others leads the rest.
+    """
+    keys = fps & near_masks()[tables]
+    order = np.lexsort((fps, keys, tables))
+    tables, keys, fps = tables[order], keys[order], fps[order]
+    new = np.ones(len(fps), bool)
+    new[1:] = (tables[1:] != tables[:-1]) | (keys[1:] != keys[:-1])
+    bucket = np.cumsum(new)
+    found = []
+    while len(fps):
+        new = np.ones(len(fps), bool)
+        new[1:] = bucket[1:] != bucket[:-1]
+        first = np.flatnonzero(new)
+        lead = np.repeat(fps[first], np.diff(np.append(first, len(fps))))
+        bits = np.bitwise_count(fps ^ lead)
+        near = bits <= NEAR
+        told = near & (fps != lead)
+        found.append((fps[told], lead[told], bits[told]))
+        fps, bucket = fps[~near], bucket[~near]
+    if not found:
+        return fps, fps, np.zeros(0, np.uint8)
+    a, b, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((b, bits, a))
+    a, b, bits = a[order], b[order], bits[order]
+    first = np.ones(len(a), bool)
+    first[1:] = a[1:] != a[:-1]
+    return a[first], b[first], bits[first]
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = [(np.frombuffer(a.as_py(), np.uint8), np.frombuffer(b.as_py(), np.uint64)) for batch in batches for a, b in zip(batch.column(0), batch.column(1), strict=True)]
+    if found:
+        a, b, bits = nearest_leaders(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(bits.astype(np.int32))], ["a", "b", "bits"])
+
+
+def near_links(prints: DataFrame) -> DataFrame:
+    """From distinct fingerprints (fp): candidates (a, b), the nearest that each meets within ``NEAR`` bits; at most one row for each."""
+    parts = max(LEAST_TASKS, prints.count() * 2 * HALF_TABLES // TASK_KEYS)
+    dealt = mapped(prints.select("fp").repartition(parts, "fp"), lambda batches: _keyed(batches, parts), "part long, tables binary, fps binary")
+    near = mapped(dealt.repartition(parts, "part").select("tables", "fps"), _compared, "a long, b long, bits int")
+    return near.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+
+
+def met(docs_fp: DataFrame) -> DataFrame:
+    """Of rows (fp, mark): pairs (a, b) of marks, texts whose fingerprints are equal or meet within ``NEAR`` bits; at most two rows for each text."""
+    heads = materialise(docs_fp.groupBy("fp").agg(F.min("mark").alias("head")), "heads")
+    equal = docs_fp.select("fp", "mark").distinct().join(heads, "fp").where("mark <> head").select(F.col("mark").alias("a"), F.col("head").alias("b"))
+    x, y = (heads.select(F.col("fp").alias(fp), F.col("head").alias(f"head_{fp}")) for fp in "ab")
+    return equal.union(near_links(heads).join(x, "a").join(y, "b").select("head_a", "head_b"))
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """Each node's smallest neighbour or itself, joined to the edges out of it."""
     least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
